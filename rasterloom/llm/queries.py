@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from rasterloom.llm.decontaminate import search_benchmark
 from rasterloom.llm.line_dedup import line_dedup
+from rasterloom.llm.near_dedup import near_duplicates
 from rasterloom.llm.packing import best_fit_pack
 from rasterloom.llm.quality_rules import quality_rules
 from rasterloom.llm.url_filter import rules_frame, url_filter
@@ -54,5 +55,10 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op4_decontaminate, op6_url_filter, op7_best_fit_packing, op8_quality_rules, op9_line_dedup)}
+def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate groups of all documents at 85 percent."""
+    return near_duplicates(table(spark, sf_dir, "documents"), 85)
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op4_decontaminate, op6_url_filter, op7_best_fit_packing, op8_quality_rules, op9_line_dedup, op10_near_dedup)}
 ORACLE_SQL: dict[str, str] = {}
