@@ -12,7 +12,9 @@ from rasterloom.llm.line_dedup import line_dedup
 from rasterloom.llm.near_dedup import near_duplicates
 from rasterloom.llm.packing import best_fit_pack
 from rasterloom.llm.quality_rules import quality_rules
+from rasterloom.llm.shared import shared_dir
 from rasterloom.llm.url_filter import rules_frame, url_filter
+from rasterloom.llm.warc import round_trip
 
 URL_RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
 
@@ -27,6 +29,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page written as a WARC capture, then read back and assembled."""
+    found = round_trip(spark, table(spark, sf_dir, "pages"), shared_dir(spark))
+    digest = F.regexp_extract("response.payload_digest", "^sha256:(.*)$", 1)
+    stated = F.when(F.col("response.type") == "revisit", F.regexp_extract(F.col("metadata.block").cast("string"), "payload-bytes: ([0-9]+)", 1).try_cast("long"))
+    number = lambda c: F.regexp_extract(c, "^urn:capture:(-?[0-9]+):response$", 1).try_cast("long")
+    return found.select(
+        number("record_id").alias("page_id"),
+        F.coalesce(stated, "response.payload_length").alias("payload_bytes"),
+        F.when(F.col("response.type") == "revisit", digest).otherwise(F.col("response.payload_sha256")).alias("payload_digest"),
+        F.col("response.type").alias("record_type"),
+        number("response.refers_to").alias("refers_to"),
+    )
+
+
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The benchmark's ten-word windows in every document."""
     found = search_benchmark(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -60,5 +77,5 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), 85)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op4_decontaminate, op6_url_filter, op7_best_fit_packing, op8_quality_rules, op9_line_dedup, op10_near_dedup)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op3_warc, op4_decontaminate, op6_url_filter, op7_best_fit_packing, op8_quality_rules, op9_line_dedup, op10_near_dedup)}
 ORACLE_SQL: dict[str, str] = {}
