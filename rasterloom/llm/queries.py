@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rasterloom.llm import quality_model, toxicity
 from rasterloom.llm.decontaminate import search_benchmark
 from rasterloom.llm.line_dedup import line_dedup
 from rasterloom.llm.near_dedup import near_duplicates
@@ -29,6 +30,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity scores of all documents."""
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.toxicity_scores(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+
+
+def op2_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality scores of all documents."""
+    docs = table(spark, sf_dir, "documents")
+    return quality_model.quality_scores(docs, quality_model.fit(docs, table(spark, sf_dir, "labels")))
+
+
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page written as a WARC capture, then read back and assembled."""
     found = round_trip(spark, table(spark, sf_dir, "pages"), shared_dir(spark))
@@ -77,5 +90,5 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), 85)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op3_warc, op4_decontaminate, op6_url_filter, op7_best_fit_packing, op8_quality_rules, op9_line_dedup, op10_near_dedup)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_toxicity, op2_quality_model, op3_warc, op4_decontaminate, op6_url_filter, op7_best_fit_packing, op8_quality_rules, op9_line_dedup, op10_near_dedup)}
 ORACLE_SQL: dict[str, str] = {}
