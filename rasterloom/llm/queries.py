@@ -14,6 +14,7 @@ from rasterloom.llm.near_dedup import near_duplicates
 from rasterloom.llm.packing import best_fit_pack
 from rasterloom.llm.quality_rules import quality_rules
 from rasterloom.llm.shared import shared_dir
+from rasterloom.llm.substring_dedup import substring_dedup
 from rasterloom.llm.url_filter import rules_frame, url_filter
 from rasterloom.llm.warc import round_trip
 
@@ -63,6 +64,11 @@ def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), "contaminated")
 
 
+def op5_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fifty-byte strings found in an earlier document are removed from all later ones."""
+    return substring_dedup(table(spark, sf_dir, "documents"), with_kept=False)
+
+
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every url of pages under the five rules."""
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
@@ -90,5 +96,5 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), 85)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_toxicity, op2_quality_model, op3_warc, op4_decontaminate, op6_url_filter, op7_best_fit_packing, op8_quality_rules, op9_line_dedup, op10_near_dedup)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_toxicity, op2_quality_model, op3_warc, op4_decontaminate, op5_suffix_array_dedup, op6_url_filter, op7_best_fit_packing, op8_quality_rules, op9_line_dedup, op10_near_dedup)}
 ORACLE_SQL: dict[str, str] = {}
