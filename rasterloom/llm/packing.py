@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rasterloom.llm import textbytes as tb
-from rasterloom.llm.shared import shared_dir
+from rasterloom.shared import shared_dir
 from rasterloom.llm.tokens import tokenizer
 
 END = 2

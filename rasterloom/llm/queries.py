@@ -11,9 +11,10 @@ from rasterloom.llm import quality_model, toxicity
 from rasterloom.llm.decontaminate import search_benchmark
 from rasterloom.llm.line_dedup import line_dedup
 from rasterloom.llm.near_dedup import near_duplicates
+from rasterloom.llm.oracles import ORACLE_SQL  # noqa: F401
 from rasterloom.llm.packing import best_fit_pack
 from rasterloom.llm.quality_rules import quality_rules
-from rasterloom.llm.shared import shared_dir
+from rasterloom.shared import shared_dir
 from rasterloom.llm.substring_dedup import substring_dedup
 from rasterloom.llm.url_filter import rules_frame, url_filter
 from rasterloom.llm.warc import round_trip
@@ -97,4 +98,3 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_toxicity, op2_quality_model, op3_warc, op4_decontaminate, op5_suffix_array_dedup, op6_url_filter, op7_best_fit_packing, op8_quality_rules, op9_line_dedup, op10_near_dedup)}
-ORACLE_SQL: dict[str, str] = {}
