@@ -15,7 +15,6 @@ with very many different contexts are parted further by the bytes next to the an
 from __future__ import annotations
 
 import hashlib
-from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,11 +30,14 @@ LENGTH = 50
 ANCHOR = 16
 SIDE = LENGTH - ANCHOR
 #: Bytes of text whose anchors are sent together.
-SEND = 4 << 20
+SEND = 2 << 20
 #: Bytes of text per bucket of anchors.
-BUCKET_BYTES = 12 << 20
+BUCKET_BYTES = 6 << 20
 #: Contexts of an anchor beyond which they are parted further, and the width of such a part.
 MANY, STEP = 96, 4
+#: Width of the ranges by which contexts are told that share no window with any other.
+WIDE = 7
+HASH_AT_ONCE = 20_000
 #: Bytes of contexts that are sorted side by side.
 SORT_BYTES = 1 << 20
 
@@ -46,18 +48,18 @@ def anchors(values: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
     ok = tb.in_one_row(offsets, LENGTH, n)
     if not ok.any():
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    at = np.arange(n - ANCHOR + 1)
-    h = tb.span_hash(tb.prefix_hash(values), at, at + ANCHOR)
+    # 16 bytes at every place as two words
+    words = np.lib.stride_tricks.as_strided(values.view(), (n - 7, 8), (1, 1)).copy().view(np.uint64).ravel()
+    h = tb.mix(words[: n - ANCHOR + 1] * np.uint64(0xA0761D6478BD642F) ^ tb.mix(words[8:]))
     # the least of SIDE + 1 neighbours by doubling; the place breaks ties, so the leftmost wins
-    key = (h >> np.uint64(32)) << np.uint64(32) | at.astype(np.uint64)
-    low, width = key, 1
+    low, width = (h & np.uint64(0xFFFFFFFF00000000)) | np.arange(len(h), dtype=np.uint64), 1
     while width * 2 <= SIDE + 1:
         low = np.minimum(low[:-width], low[width:])
         width *= 2
     rest = SIDE + 1 - width
     low = np.minimum(low[: len(low) - rest], low[rest:])[: len(ok)]
     places = (low[ok] & np.uint64(0xFFFFFFFF)).astype(np.int64)
-    places = np.unique(places)
+    places = places[np.append(True, places[1:] != places[:-1])]  # they never go back
     return places, np.searchsorted(offsets, places, "right") - 1, h[places]
 
 
@@ -175,109 +177,136 @@ def _frames(data: bytes) -> Iterator[bytes]:
         at += 4 + n
 
 
-def window_owners(groups: list[list[tuple[bytes, int]]]) -> list[list[np.ndarray]]:
-    """For every context (bytes, smallest id) of every group, the smallest id that has each of its windows.
+class Contexts:
+    """Distinct contexts of a bucket: bytes in a row, each one's begin, size, bytes left of the anchor, anchor and first document."""
 
-    One suffix array per group, many of them side by side.
+    def __init__(self, data: np.ndarray, begin: np.ndarray, size: np.ndarray, left: np.ndarray, anchor: np.ndarray, least: np.ndarray):
+        self.data, self.begin, self.size, self.left, self.anchor, self.least = data, begin, size, left, anchor, least
+
+    def hashes(self, which: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+        """Hashes of the bytes start..stop of contexts, a few at a time."""
+        out = np.empty(len(which), np.uint64)
+        for at in range(0, len(which), HASH_AT_ONCE):
+            k = slice(at, at + HASH_AT_ONCE)
+            a, n = self.begin[which[k]] + start[k], stop[k] - start[k]
+            ends = np.cumsum(n)
+            out[k] = tb.span_hash(tb.prefix_hash(self.data[_ranges(a, n)]), ends - n, ends)
+        return out
+
+    def pieces(self, which: np.ndarray, step: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """(contexts, key, start, stop) for windows with low..high bytes left of the anchor, for ranges of ``step``.
+
+        Two contexts can share such a window only if their keys are equal: the bytes that all those
+        windows have.  start..stop are the bytes that some of the windows have.
+        """
+        for low in range(0, SIDE + 1, step):
+            high = min(low + step - 1, SIDE)
+            left, right = self.left[which], self.size[which] - self.left[which] - ANCHOR
+            ok = np.flatnonzero((left >= low) & (right >= SIDE - high))
+            some, left, right = which[ok], left[ok], right[ok]
+            key = self.hashes(some, left - low, left + ANCHOR + SIDE - high) ^ tb.mix(self.anchor[some])
+            yield some, key, left - np.minimum(left, high), left + ANCHOR + np.minimum(right, SIDE - low)
+
+
+def window_owners(data: np.ndarray, begin: np.ndarray, size: np.ndarray, cuts: np.ndarray, least: np.ndarray) -> np.ndarray:
+    """For every window of every context, contexts in a row, the smallest ``least`` of its group's contexts that have it.
+
+    Group k is the contexts cuts[k] to cuts[k + 1]; one suffix array per group, many side by side.
     """
-    pieces, lanes, starts, owners = [], [0], [], []
-    at = 0
-    for group in groups:
-        for data, owner in group:
-            pieces.append(np.frombuffer(data, np.uint8).astype(np.int64) + 2)
-            pieces.append(np.ones(1, np.int64))
-            starts.append(at)
-            owners.append(owner)
-            at += len(data) + 1
-        pieces.append(np.zeros(1, np.int64))
-        at += 1
-        lanes.append(at)
-    text = np.concatenate(pieces)
-    sizes = np.array([len(data) for group in groups for data, _ in group])
-    starts = np.array(starts)
-    order = suffix_arrays(text, np.array(lanes))
-    windows = np.maximum(sizes - LENGTH + 1, 0)
-    where = _ranges(starts, windows)
-    context = np.repeat(np.arange(len(starts)), windows)
-    owner_of = np.full(len(text), -1, np.int64)
-    owner_of[where] = context
-    owners = np.array(owners, np.int64)
+    n, groups = len(begin), np.repeat(np.arange(len(cuts) - 1), np.diff(cuts))
+    # each context is followed by a mark, each group by a smaller one
+    place = np.cumsum(size + 1) - (size + 1) + groups
+    lanes = np.append(place[cuts[:-1]], place[-1] + size[-1] + 2)
+    text = np.zeros(lanes[-1], np.int64)
+    text[_ranges(place, size)] = data[_ranges(begin, size)].astype(np.int64) + 2
+    text[place + size] = 1
+    order = suffix_arrays(text, lanes)
+    windows = np.maximum(size - LENGTH + 1, 0)
+    where = _ranges(place, windows)
+    context = np.full(len(text), -1, np.int64)
+    context[where] = np.repeat(np.arange(n), windows)
     # suffixes that begin with a whole window, in order; neighbours with equal windows form a run
-    s = order[owner_of[order] >= 0]
-    lane = np.searchsorted(np.array(lanes), s, "right")
+    s = order[context[order] >= 0]
+    if not len(s):
+        return np.zeros(0, np.int64)
     code = tb.span_hash(tb.prefix_hash(text.astype(np.uint8)), s, s + LENGTH)
-    cuts = _edges(lane, code)
-    least = np.minimum.reduceat(owners[owner_of[s]], cuts[:-1]) if len(s) else np.zeros(0, np.int64)
+    runs = _edges(groups[context[s]], code)
     found = np.empty(len(text), np.int64)
-    found[s] = np.repeat(least, np.diff(cuts))
-    flat, out, at, k = found[where], [], 0, 0
-    for group in groups:
-        one = []
-        for _ in group:
-            one.append(flat[at : at + windows[k]])
-            at, k = at + int(windows[k]), k + 1
-        out.append(one)
-    return out
-
-
-def _cover(removed: np.ndarray) -> list[tuple[int, int]]:
-    """Spans of bytes covered by the windows that are marked."""
-    at = np.flatnonzero(removed)
-    if not len(at):
-        return []
-    gap = np.flatnonzero(np.diff(at) > LENGTH)
-    return list(zip(at[np.append(0, gap + 1)].tolist(), (at[np.append(gap, len(at) - 1)] + LENGTH).tolist(), strict=True))
-
+    found[s] = np.repeat(np.minimum.reduceat(least[context[s]], runs[:-1]), np.diff(runs))
+    return found[where]
 
-def _parts(contexts: list[tuple[bytes, int, int]]) -> list[list[int]]:
-    """Sets of contexts (bytes, bytes left of the anchor, id), each trimmed, for an anchor with very many of them.
 
-    A window has k bytes left of the anchor and SIDE - k right of it.  For k in a narrow range, windows
-    can only be equal where the bytes that all of them have are.  Gives (trim start, trim end, context) lists.
-    """
-    out = []
-    for low in range(0, SIDE + 1, STEP):
-        high = min(low + STEP - 1, SIDE)
-        sets: dict[bytes, list[tuple[int, int, int]]] = defaultdict(list)
-        for k, (data, left, _) in enumerate(contexts):
-            right = len(data) - left - ANCHOR
-            if left >= low and right >= SIDE - high:
-                sets[data[left - low : left + ANCHOR + SIDE - high]].append((left - min(left, high), left + ANCHOR + min(right, SIDE - low), k))
-        out += sets.values()
-    return out
-
-
-def _spans(hashes: np.ndarray, lefts: np.ndarray, data: list[bytes], least: np.ndarray) -> list[list[tuple[int, int]]]:
-    """For each distinct context, sorted by anchor, the spans that its own first document loses."""
-    spans: list[list[tuple[int, int]]] = [[] for _ in data]
-    jobs: list[tuple[list[tuple[bytes, int]], list[list[tuple[int, int]]]]] = []
-    cuts = _edges(hashes)
-    for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-        if b - a < 2:
-            continue
-        if b - a <= MANY:
-            jobs.append(([(data[k], int(least[k])) for k in range(a, b)], [[(k, 0)] for k in range(a, b)]))
-            continue
-        for part in _parts([(data[k], int(lefts[k]), int(least[k])) for k in range(a, b)]):
-            same: dict[bytes, list[tuple[int, int]]] = defaultdict(list)
-            for start, stop, k in part:
-                same[data[a + k][start:stop]].append((a + k, start))
-            owner = [(text, min(int(least[k]) for k, _ in who)) for text, who in same.items()]
-            if len({i for _, i in owner}) > 1 or any(len(who) > 1 for who in same.values()):
-                jobs.append((owner, list(same.values())))
-    jobs.sort(key=lambda job: sum(len(t) for t, _ in job[0]))
-    at = 0
-    while at < len(jobs):
-        size, to = 0, at
-        while to < len(jobs) and (to == at or size < SORT_BYTES):
-            size += sum(len(t) + 1 for t, _ in jobs[to][0])
-            to += 1
-        for (_, who), found in zip(jobs[at:to], window_owners([g for g, _ in jobs[at:to]]), strict=True):
-            for some, owner in zip(who, found, strict=True):
-                for k, shift in some:
-                    spans[k] += [(x + shift, y + shift) for x, y in _cover(owner < least[k])]
-        at = to
-    return spans
+def _covered(context: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Spans (context, start, stop) of bytes covered by the windows that start at ``at``, in order within each context."""
+    if not len(at):
+        return context, at, at
+    new = np.append(True, (context[1:] != context[:-1]) | (np.diff(at) > LENGTH))
+    first = np.flatnonzero(new)
+    return context[first], at[first], at[np.append(first[1:] - 1, len(at) - 1)] + LENGTH
+
+
+def _repeated_keys(key: np.ndarray) -> np.ndarray:
+    return np.flatnonzero(tb.repeated(key))
+
+
+def lost_spans(c: Contexts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(context, start, stop): what each distinct context's first document loses; contexts are sorted by anchor."""
+    found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    # contexts that can share a window with another one
+    able = np.zeros(len(c.begin), bool)
+    several = _repeated_keys(c.anchor)
+    for some, key, _, _ in c.pieces(several, WIDE):
+        able[some[_repeated_keys(key)]] = True
+    able = np.flatnonzero(able)
+    if not len(able):
+        nothing = np.zeros(0, np.int64)
+        return nothing, nothing, nothing
+    cuts = _edges(c.anchor[able])
+    crowded = np.repeat(np.diff(cuts) > MANY, np.diff(cuts))
+
+    def solve(some: np.ndarray, start: np.ndarray, stop: np.ndarray, groups: np.ndarray, least: np.ndarray, parents: np.ndarray, child: np.ndarray) -> None:
+        """Contexts start..stop of ``some`` in groups (sorted); ``parents``, sorted by ``child``, take what their child's windows say."""
+        cuts = _edges(groups)
+        sizes = np.add.reduceat(stop - start, cuts[:-1]) if len(some) else np.zeros(0, np.int64)
+        by = np.argsort(sizes, kind="stable")  # groups of like size side by side
+        block = (np.cumsum(sizes[by]) - sizes[by]) // SORT_BYTES
+        edge = np.searchsorted(child, np.arange(len(some) + 1))
+        for x, y in zip((e := _edges(block))[:-1], e[1:], strict=True):
+            chosen = by[x:y]
+            n = np.diff(cuts)[chosen]
+            k = _ranges(cuts[chosen], n)
+            owners = window_owners(c.data, c.begin[some[k]] + start[k], stop[k] - start[k], np.append(0, np.cumsum(n)), least[k])
+            windows = np.maximum(stop[k] - start[k] - LENGTH + 1, 0)
+            base = np.cumsum(windows) - windows
+            many = np.diff(edge)[k]
+            who, mine = parents[_ranges(edge[k], many)], np.repeat(np.arange(len(k)), many)
+            flat = _ranges(base[mine], windows[mine])
+            owner = np.repeat(np.arange(len(who)), windows[mine])
+            gone = np.flatnonzero(owners[flat] < c.least[who[owner]])
+            at = flat[gone] - base[mine[owner[gone]]] + start[k[mine[owner[gone]]]]
+            one, a, b = _covered(owner[gone], at)
+            found.append((who[one], a, b))
+
+    plain = able[~crowded]
+    if len(plain):
+        solve(plain, np.zeros(len(plain), np.int64), c.size[plain], c.anchor[plain], c.least[plain], plain, np.arange(len(plain)))
+    if crowded.any():
+        for some, key, start, stop in c.pieces(able[crowded], STEP):
+            kept = _repeated_keys(key)
+            some, key, start, stop = some[kept], key[kept], start[kept], stop[kept]
+            content = c.hashes(some, start, stop)
+            by = np.lexsort((content, key))
+            some, key, start, stop, content = some[by], key[by], start[by], stop[by], content[by]
+            same = _edges(key, content)
+            one = same[:-1]
+            if len(some):
+                solve(some[one], start[one], stop[one], key[one], np.minimum.reduceat(c.least[some], one), some, np.repeat(np.arange(len(one)), np.diff(same)))
+    if not found:
+        nothing = np.zeros(0, np.int64)
+        return nothing, nothing, nothing
+    who, a, b = (np.concatenate(x) for x in zip(*found, strict=True))
+    by = np.argsort(who, kind="stable")
+    return who[by], a[by], b[by]
 
 
 def _marks(sent: DataFrame) -> DataFrame:
@@ -300,8 +329,8 @@ def _marks(sent: DataFrame) -> DataFrame:
         ids, places, owners = np.concatenate(ids), np.concatenate(places), np.concatenate(owners)
         hashes, lefts, sizes, data = np.concatenate(hashes), np.concatenate(lefts).astype(np.int64), np.concatenate(sizes).astype(np.int64), np.concatenate(data)
         begin = np.cumsum(sizes) - sizes
-        code = np.concatenate([tb.span_hash(tb.prefix_hash(data[begin[a] : begin[b - 1] + sizes[b - 1]]), begin[a:b] - begin[a], begin[a:b] - begin[a] + sizes[a:b]) for a, b in ((a, min(a + 50_000, n)) for a in range(0, n, 50_000))])
-        code ^= tb.mix(hashes + lefts.astype(np.uint64))
+        every = Contexts(data, begin, sizes, lefts, hashes, np.zeros(0, np.int64))
+        code = every.hashes(np.arange(n), np.zeros(n, np.int64), sizes) ^ tb.mix(hashes + lefts.astype(np.uint64))
         by = np.lexsort((code, hashes))
         cuts = _edges(hashes[by], code[by])
         one = by[cuts[:-1]]
@@ -310,22 +339,15 @@ def _marks(sent: DataFrame) -> DataFrame:
         owners = distinct[owners]
         least = np.full(len(one), np.iinfo(np.int64).max)
         np.minimum.at(least, owners, ids)
-        raw = data.tobytes()
-        texts = [raw[a:b] for a, b in zip(begin[one].tolist(), (begin[one] + sizes[one]).tolist(), strict=True)]
-        spans = _spans(hashes[one], lefts[one], texts, least)
+        who, lost_from, lost_to = lost_spans(Contexts(data, begin[one], sizes[one], lefts[one], hashes[one], least))
         # later documents with the same context lose all of it, the first what its windows' owners say
-        start = places - lefts[one][owners]
-        later = (ids != least[owners]) & (sizes[one][owners] >= LENGTH)
-        out_id, out_start, out_stop = [ids[later]], [start[later]], [(start + sizes[one][owners])[later]]
-        count = np.array([len(x) for x in spans], np.int64)
-        flat = np.array([y for x in spans for y in x], np.int64).reshape(-1, 2)
-        base = np.cumsum(count) - count
+        start, size = places - lefts[one][owners], sizes[one][owners]
+        later = (ids != least[owners]) & (size >= LENGTH)
+        edge = np.searchsorted(who, np.arange(len(one) + 1))
+        count = np.diff(edge)
         own = np.flatnonzero((ids == least[owners]) & (count[owners] > 0))
-        pick = _ranges(base[owners[own]], count[owners[own]])
-        rep = np.repeat(own, count[owners[own]])
-        out_id.append(ids[rep])
-        out_start.append(start[rep] + flat[pick, 0])
-        out_stop.append(start[rep] + flat[pick, 1])
+        pick, rep = _ranges(edge[owners[own]], count[owners[own]]), np.repeat(own, count[owners[own]])
+        out_id, out_start, out_stop = [ids[later], ids[rep]], [start[later], start[rep] + lost_from[pick]], [(start + size)[later], start[rep] + lost_to[pick]]
         return pa.table({"id": pa.array(np.concatenate(out_id)), "start": pa.array(np.concatenate(out_start)), "stop": pa.array(np.concatenate(out_stop))})
 
     return sent.groupBy("bucket").applyInArrow(run, "id long, start long, stop long")
@@ -353,17 +375,18 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     spark = docs.sparkSession
     base = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    named = base.where(F.col("id").isNotNull() & (F.octet_length("text") >= LENGTH))
+    named = base.where(F.col("id").isNotNull())
     total = named.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     buckets = max(16, -(-total // BUCKET_BYTES))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    # one shuffle of the texts serves both for cutting contexts and for removing bytes
-    placed = base.repartition(max(parts, 1), "id")
+    # one shuffle of the texts serves both for cutting contexts and for removing bytes, so both read the same plan
+    placed = named.repartition(parts, "id")
     lists = _shared(_anchor_rows(named, buckets)).groupBy("id").agg(F.collect_list("hash").alias("hashes"))
-    wanted = placed.where(F.col("id").isNotNull() & (F.octet_length("text") >= LENGTH)).join(lists, "id")
-    marks = _marks(_context_rows(wanted, buckets))
+    marks = _marks(_context_rows(placed.join(lists, "id"), buckets))
     spans = marks.groupBy("id").agg(F.collect_list("start").alias("start"), F.collect_list("stop").alias("stop"))
-    joined = placed.join(spans, "id", "left")
+    none = F.lit(None).cast("array<bigint>")
+    nameless = base.where(F.col("id").isNull()).select("id", "text", none.alias("start"), none.alias("stop"))
+    joined = placed.join(spans, "id", "left").select("id", "text", "start", "stop").unionAll(nameless)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, values, offsets in tb.slices(batches):
@@ -384,5 +407,5 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             size, gone, n, kept = zip(*rows, strict=True)
             yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(size, pa.int64()), pa.array(gone, pa.int64()), pa.array(n, pa.int64()), pa.array([hashlib.sha256(x).hexdigest() for x in kept]), pa.array(kept if with_kept else [None] * len(kept), pa.binary())], names=["id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
-    out = joined.select("id", "text", "start", "stop").mapInArrow(cut, "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    out = joined.mapInArrow(cut, "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
     return (out if with_kept else out.drop("kept")).withColumnRenamed("id", id_col)
