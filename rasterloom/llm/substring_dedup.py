@@ -264,8 +264,8 @@ def lost_spans(c: Contexts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     cuts = _edges(c.anchor[able])
     crowded = np.repeat(np.diff(cuts) > MANY, np.diff(cuts))
 
-    def solve(some: np.ndarray, start: np.ndarray, stop: np.ndarray, groups: np.ndarray, least: np.ndarray, parents: np.ndarray, child: np.ndarray) -> None:
-        """Contexts start..stop of ``some`` in groups (sorted); ``parents``, sorted by ``child``, take what their child's windows say."""
+    def solve(some: np.ndarray, start: np.ndarray, stop: np.ndarray, groups: np.ndarray, least: np.ndarray, parents: np.ndarray, child: np.ndarray, shift: np.ndarray) -> None:
+        """Contexts start..stop of ``some`` in groups (sorted); ``parents``, sorted by ``child``, take what their child's windows say, from byte ``shift`` on."""
         cuts = _edges(groups)
         sizes = np.add.reduceat(stop - start, cuts[:-1]) if len(some) else np.zeros(0, np.int64)
         by = np.argsort(sizes, kind="stable")  # groups of like size side by side
@@ -279,17 +279,18 @@ def lost_spans(c: Contexts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
             windows = np.maximum(stop[k] - start[k] - LENGTH + 1, 0)
             base = np.cumsum(windows) - windows
             many = np.diff(edge)[k]
-            who, mine = parents[_ranges(edge[k], many)], np.repeat(np.arange(len(k)), many)
+            taken, mine = _ranges(edge[k], many), np.repeat(np.arange(len(k)), many)
+            who = parents[taken]
             flat = _ranges(base[mine], windows[mine])
             owner = np.repeat(np.arange(len(who)), windows[mine])
             gone = np.flatnonzero(owners[flat] < c.least[who[owner]])
-            at = flat[gone] - base[mine[owner[gone]]] + start[k[mine[owner[gone]]]]
+            at = flat[gone] - base[mine[owner[gone]]] + shift[taken[owner[gone]]]
             one, a, b = _covered(owner[gone], at)
             found.append((who[one], a, b))
 
     plain = able[~crowded]
     if len(plain):
-        solve(plain, np.zeros(len(plain), np.int64), c.size[plain], c.anchor[plain], c.least[plain], plain, np.arange(len(plain)))
+        solve(plain, np.zeros(len(plain), np.int64), c.size[plain], c.anchor[plain], c.least[plain], plain, np.arange(len(plain)), np.zeros(len(plain), np.int64))
     if crowded.any():
         for some, key, start, stop in c.pieces(able[crowded], STEP):
             kept = _repeated_keys(key)
@@ -300,7 +301,7 @@ def lost_spans(c: Contexts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
             same = _edges(key, content)
             one = same[:-1]
             if len(some):
-                solve(some[one], start[one], stop[one], key[one], np.minimum.reduceat(c.least[some], one), some, np.repeat(np.arange(len(one)), np.diff(same)))
+                solve(some[one], start[one], stop[one], key[one], np.minimum.reduceat(c.least[some], one), some, np.repeat(np.arange(len(one)), np.diff(same)), start)
     if not found:
         nothing = np.zeros(0, np.int64)
         return nothing, nothing, nothing
