@@ -37,7 +37,7 @@ BUCKET_BYTES = 6 << 20
 MANY, STEP = 96, 4
 #: Width of the ranges by which contexts are told that share no window with any other.
 WIDE = 7
-HASH_AT_ONCE = 20_000
+SUMS_AT_ONCE = 1 << 20
 #: Bytes of contexts that are sorted side by side.
 SORT_BYTES = 1 << 20
 
@@ -182,16 +182,25 @@ class Contexts:
 
     def __init__(self, data: np.ndarray, begin: np.ndarray, size: np.ndarray, left: np.ndarray, anchor: np.ndarray, least: np.ndarray):
         self.data, self.begin, self.size, self.left, self.anchor, self.least = data, begin, size, left, anchor, least
+        # running sums start anew every so many bytes, between contexts, so the tables of powers stay small
+        by = np.argsort(begin, kind="stable")
+        block = np.empty(len(begin), np.int64)
+        block[by] = begin[by] // SUMS_AT_ONCE
+        first = _edges(block[by])
+        self.sums, self.origin, self.base = np.empty(len(data) + len(first), np.uint64), np.empty(len(begin), np.int64), np.empty(len(begin), np.int64)
+        at = 0
+        for x, y in zip(first[:-1], first[1:], strict=True):
+            low, high = begin[by[x]], (begin[by[x:y]] + size[by[x:y]]).max()
+            if at + high - low + 1 > len(self.sums):
+                self.sums = np.append(self.sums, np.empty(at + high - low + 1, np.uint64))
+            self.sums[at : at + high - low + 1] = tb.prefix_hash(data[low:high])
+            self.origin[by[x:y]], self.base[by[x:y]] = low, at
+            at += high - low + 1
 
     def hashes(self, which: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
-        """Hashes of the bytes start..stop of contexts, a few at a time."""
-        out = np.empty(len(which), np.uint64)
-        for at in range(0, len(which), HASH_AT_ONCE):
-            k = slice(at, at + HASH_AT_ONCE)
-            a, n = self.begin[which[k]] + start[k], stop[k] - start[k]
-            ends = np.cumsum(n)
-            out[k] = tb.span_hash(tb.prefix_hash(self.data[_ranges(a, n)]), ends - n, ends)
-        return out
+        """Hashes of the bytes start..stop of contexts."""
+        local = self.begin[which] - self.origin[which] + start
+        return tb.span_hash_at(self.sums, self.base[which] + local, stop - start, local)
 
     def pieces(self, which: np.ndarray, step: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
         """(contexts, key, start, stop) for windows with low..high bytes left of the anchor, for ranges of ``step``.

@@ -129,6 +129,12 @@ def span_hash(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndar
     return mix((sums[ends] - sums[starts]) * back[starts] + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 
+def span_hash_at(sums: np.ndarray, at: np.ndarray, size: np.ndarray, since: np.ndarray) -> np.ndarray:
+    """``span_hash`` where several runs of sums stand in one array: spans at ``at``, ``since`` bytes after their run's start."""
+    _, back = _power(int(since.max(initial=0)) + 1)
+    return mix((sums[at + size] - sums[at]) * back[since] + size.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+
+
 def ngram_hash(words: np.ndarray, n: int) -> np.ndarray:
     """Hashes of all windows of n consecutive word hashes (len(words) - n + 1 of them, row borders not observed)."""
     if len(words) < n:
