@@ -32,14 +32,14 @@ SIDE = LENGTH - ANCHOR
 #: Bytes of text whose anchors are sent together.
 SEND = 2 << 20
 #: Bytes of text per bucket of anchors.
-BUCKET_BYTES = 6 << 20
+BUCKET_BYTES = 4 << 20
 #: Contexts of an anchor beyond which they are parted further, and the width of such a part.
 MANY, STEP = 96, 4
 #: Width of the ranges by which contexts are told that share no window with any other.
 WIDE = 7
 SUMS_AT_ONCE = 1 << 20
 #: Bytes of contexts that are sorted side by side.
-SORT_BYTES = 1 << 20
+SORT_BYTES = 1 << 19
 
 
 def anchors(values: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
