@@ -26,8 +26,8 @@ def _ring_area(ring: Column) -> Column:
 
 
 def area(rings: Column) -> Column:
-    """Area of the exterior less that of the holes."""
-    return let(rings, _area)
+    """Area of the exterior less that of the holes; null for null rings."""
+    return F.when(rings.isNotNull(), let(rings, _area))
 
 
 def _area(rings: Column) -> Column:
