@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -29,8 +30,8 @@ from rasterloom.llm.suffix_order import _edges, _ranges, suffix_arrays
 LENGTH = 50
 ANCHOR = 16
 SIDE = LENGTH - ANCHOR
-#: Bytes of text whose anchors are sent together.
-SEND = 2 << 20
+#: Bytes of text whose anchors are sent together, and whose anchors are found at once.
+SEND, FIND = 8 << 20, 1 << 20
 #: Bytes of text per bucket of anchors.
 BUCKET_BYTES = 4 << 20
 #: Contexts of an anchor beyond which they are parted further, and the width of such a part.
@@ -63,12 +64,28 @@ def anchors(values: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
     return places, np.searchsorted(offsets, places, "right") - 1, h[places]
 
 
+def anchors_of(values: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``anchors`` of a long slice, some rows at a time, for arrays that fit the processor's caches."""
+    found, at, n = [], 0, len(offsets) - 1
+    while at < n:
+        to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + FIND, "right")) - 1)
+        place, row, h = anchors(values[offsets[at] : offsets[to]], offsets[at : to + 1] - offsets[at])
+        found.append((place + offsets[at], row + at, h))
+        at = to
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
+
+@cache
+def _zstd() -> tuple[zstandard.ZstdCompressor, zstandard.ZstdDecompressor]:
+    return zstandard.ZstdCompressor(level=3), zstandard.ZstdDecompressor()
+
+
 def _pack(x: np.ndarray) -> bytes:
-    return zstandard.ZstdCompressor(level=3).compress(np.ascontiguousarray(x).tobytes())
+    return _zstd()[0].compress(np.ascontiguousarray(x).tobytes())
 
 
 def _unpack(b: bytes, kind) -> np.ndarray:
-    return np.frombuffer(zstandard.ZstdDecompressor().decompress(b), kind)
+    return np.frombuffer(_zstd()[1].decompress(b), kind)
 
 
 def _bucket(h: np.ndarray, n: int) -> np.ndarray:
@@ -92,7 +109,7 @@ def _anchor_rows(rows: DataFrame, buckets: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, values, offsets in tb.slices(batches, most=SEND):
-            _, row, h = anchors(values, offsets)
+            _, row, h = anchors_of(values, offsets)
             ids = part.column("id").to_numpy()
             out = []
             for bucket, some in _by_bucket(_bucket(h, buckets)):
@@ -134,7 +151,7 @@ def _context_rows(texts: DataFrame, buckets: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, values, offsets in tb.slices(batches, most=SEND):
-            place, row, h = anchors(values, offsets)
+            place, row, h = anchors_of(values, offsets)
             lists = part.column("hashes")
             wanted = np.asarray(lists.flatten()).view(np.uint32)
             owner = np.repeat(np.arange(len(lists)), np.diff(np.asarray(lists.offsets)))
@@ -145,7 +162,7 @@ def _context_rows(texts: DataFrame, buckets: int) -> DataFrame:
             chosen = keys[at] == mine if len(keys) else np.zeros(len(mine), bool)
             place, row, h = place[chosen], row[chosen], h[chosen]
             begin, end = np.maximum(place - SIDE, offsets[row]), np.minimum(place + ANCHOR + SIDE, offsets[row + 1])
-            content = tb.span_hash(tb.prefix_hash(values), begin, end) ^ tb.mix(h + (place - begin).astype(np.uint64))
+            content = Contexts(values, begin, end - begin, place - begin, h, h).hashes(np.arange(len(h)), np.zeros(len(h), np.int64), end - begin) ^ tb.mix(h + (place - begin).astype(np.uint64))
             ids = part.column("id").to_numpy()
             out = []
             for bucket, some in _by_bucket(_bucket(h, buckets)):
