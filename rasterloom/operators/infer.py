@@ -12,9 +12,11 @@ from typing import Protocol
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from rasterloom.functions.geometry import let
+
 MEAN, STD = (0.405, 0.432, 0.397), (0.164, 0.173, 0.153)
 
 
@@ -25,9 +27,21 @@ class Model(Protocol):
 
 
 def softmax(logits: Column) -> Column:
-    top = F.array_max(logits)
-    e = F.transform(logits, lambda v: F.exp(v - top))
-    return F.transform(e, lambda v: v / F.aggregate(e, F.lit(0.0), lambda s, x: s + x))
+    """Softmax of an array of any length, every part of it computed once."""
+    exps = let(F.array_max(logits), lambda top: F.transform(logits, lambda v: F.exp(v - top)))
+    return let(exps, lambda e: let(F.aggregate(e, F.lit(0.0), lambda s, x: s + x), lambda total: F.transform(e, lambda v: v / total)))
+
+
+def softmax_of(logits: Sequence[Column]) -> Column:
+    """The same for logits known one by one: plain expressions, which generated code shares."""
+    if len(logits) == 1:
+        return F.array(F.lit(1.0))
+    top = F.greatest(*logits)
+    exps = [F.exp(z - top) for z in logits]
+    total = exps[0]
+    for e in exps[1:]:
+        total = total + e
+    return F.array(*(e / total for e in exps))
 
 
 def sigmoid(v: Column) -> Column:
@@ -61,13 +75,13 @@ class LinearSoftmax:
         return e / e.sum(axis=1, keepdims=True)
 
     def columns(self, patches: DataFrame) -> DataFrame:
-        """``patches`` with a column ``probs``; a centred model needs the patches' means, one narrow aggregate."""
+        """``patches`` with a column ``probs``; a centred model needs the patches' means, over windows of one patch each."""
         count = len(self.weights[0])
         keys = ["raster_id", "patch_row", "patch_col"]
         x = [F.col("bands")[c] for c in range(count)]
         if self.centred:
-            means = patches.groupBy(*keys).agg(*(F.avg(F.col("bands")[c]).alias(f"mean_{c}") for c in range(count)))
-            patches = patches.join(means, keys)
+            patch = Window.partitionBy(*keys)
+            patches = patches.withColumns({f"mean_{c}": F.avg(F.col("bands")[c]).over(patch) for c in range(count)})
             x = [v - F.col(f"mean_{c}") for c, v in enumerate(x)]
         logits = []
         for w, b in zip(self.weights, self.bias, strict=True):
@@ -75,7 +89,7 @@ class LinearSoftmax:
             for k, v in zip(w, x, strict=True):
                 z = z + F.lit(float(k)) * v
             logits.append(z)
-        probs = F.array(sigmoid(logits[0])) if self.classes == 1 else softmax(F.array(*logits))
+        probs = F.array(sigmoid(logits[0])) if self.classes == 1 else softmax_of(logits)
         return patches.withColumn("probs", probs).drop(*(f"mean_{c}" for c in range(count) if self.centred))
 
 
