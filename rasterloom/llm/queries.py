@@ -16,6 +16,7 @@ from rasterloom.llm.packing import best_fit_pack
 from rasterloom.llm.quality_rules import quality_rules
 from rasterloom.shared import shared_dir
 from rasterloom.llm.substring_dedup import substring_dedup
+from rasterloom.llm.textbytes import modest_batches
 from rasterloom.llm.url_filter import rules_frame, url_filter
 from rasterloom.llm.warc import round_trip
 
@@ -29,6 +30,7 @@ def tokenizer_path() -> str:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    modest_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -15,7 +15,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text handled at once; bounds the temporaries (about 60 bytes per byte).
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 _BASE = np.uint64(0x9E3779B97F4A7C13)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C13, -1, 1 << 64))
 _powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
@@ -38,6 +38,13 @@ BYTE_VALUES = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + n
 LOWER_VALUES = BYTE_VALUES[LOWER]
 
 
+def modest_batches(spark) -> None:
+    """Fewer rows per Arrow batch, as rows hold whole texts; a number that someone has chosen stays."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":
+        spark.conf.set(key, "2000")
+
+
 def strings(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The UTF-8 bytes of a string column and its offsets (one more than rows); null counts as empty."""
     if column.null_count:

@@ -37,7 +37,7 @@ PLAIN = re.compile(" [A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+").fullmatc
 class PieceTokenizer:
     """Ids for slices of text from the tokenizer file at ``path``; remembers up to ``most`` pieces."""
 
-    def __init__(self, path: str, most: int = 1_500_000):
+    def __init__(self, path: str, most: int = 1_000_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -48,15 +48,15 @@ class PieceTokenizer:
 
     def _forget(self) -> None:
         self.keys = np.zeros(0, np.uint64)
-        self.begin, self.count = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.begin, self.count = np.zeros(0, np.int32), np.zeros(0, np.int32)
         self.ids = np.zeros(0, np.uint32)
 
     def _learn(self, keys: np.ndarray, texts: list[str]) -> None:
         if len(self.keys) + len(keys) > self.most:
             self._forget()
         found = self._ids(texts)
-        count = np.fromiter(map(len, found), np.int64, len(found))
-        begin = len(self.ids) + np.cumsum(count) - count
+        count = np.fromiter(map(len, found), np.int32, len(found))
+        begin = (len(self.ids) + np.cumsum(count, dtype=np.int64) - count).astype(np.int32)
         self.ids = np.concatenate([self.ids, np.fromiter(chain.from_iterable(found), np.uint32, int(count.sum()))])
         at = np.searchsorted(self.keys, keys)
         self.keys = np.insert(self.keys, at, keys)
@@ -105,7 +105,7 @@ class PieceTokenizer:
                 new[:] = True  # what is remembered makes room for this slice
             self._learn(keys[new], [data[a:b].decode() for a, b in zip(starts[where[new]], ends[where[new]], strict=True)])
         at = np.searchsorted(self.keys, keys)[back]
-        count = self.count[at]
+        count = self.count[at].astype(np.int64)
         first = np.concatenate([[0], np.cumsum(count)])
         ids = self.ids[np.arange(first[-1]) + np.repeat(self.begin[at] - first[:-1], count)] if len(at) else np.zeros(0, np.uint32)
         return ids, first[np.searchsorted(starts, offsets)]
