@@ -35,7 +35,7 @@ PLAIN = re.compile(" [A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+").fullmatc
 
 
 class PieceTokenizer:
-    """Ids for slices of text from the tokenizer file at ``path``; remembers up to ``most`` pieces."""
+    """Ids for slices of text from the tokenizer file at ``path``; remembers about ``most`` pieces and 8 * ``most`` ids."""
 
     def __init__(self, path: str, most: int = 1_000_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -52,8 +52,6 @@ class PieceTokenizer:
         self.ids = np.zeros(0, np.uint32)
 
     def _learn(self, keys: np.ndarray, texts: list[str]) -> None:
-        if len(self.keys) + len(keys) > self.most:
-            self._forget()
         found = self._ids(texts)
         count = np.fromiter(map(len, found), np.int32, len(found))
         begin = (len(self.ids) + np.cumsum(count, dtype=np.int64) - count).astype(np.int32)
@@ -100,9 +98,9 @@ class PieceTokenizer:
             new = self.keys[np.minimum(at, len(self.keys) - 1)] != keys
         if new.any():
             data = values.tobytes()
-            kept = len(self.keys) + int(new.sum()) <= self.most
-            if not kept:
-                new[:] = True  # what is remembered makes room for this slice
+            if len(self.keys) + int(new.sum()) > self.most or len(self.ids) > 8 * self.most:
+                self._forget()  # what is remembered makes room for this slice
+                new[:] = True
             self._learn(keys[new], [data[a:b].decode() for a, b in zip(starts[where[new]], ends[where[new]], strict=True)])
         at = np.searchsorted(self.keys, keys)[back]
         count = self.count[at].astype(np.int64)
