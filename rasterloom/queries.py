@@ -64,8 +64,8 @@ def q_segment_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def q_segment_narrow(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A raster two cells wide: the first column gets no weight, hence class 0."""
-    cube = V.cube64(spark, sf_dir).where(F.col("x") < 16).withColumn("width", F.lit(16))
-    out = segment.segment_relational(cube, V.MODEL, V.S, 2)
+    cube = bands.widen(V.bands16(spark, sf_dir), 4).withColumns({"height": F.lit(V.height(spark, sf_dir)), "width": F.lit(16)})
+    out = segment.segment_relational(cube, V.MODEL4, V.S, 4)
     return tidy(out.groupBy("x", "cls").agg(F.count(F.lit(1)).alias("n"), F.sum("sw").alias("sw")))
 
 

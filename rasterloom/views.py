@@ -9,6 +9,8 @@ from rasterloom.functions.geometry import box
 from rasterloom.operators.infer import LinearSoftmax
 
 MODEL = LinearSoftmax(((1.0, -0.5), (-0.7, 0.9), (0.2, 0.3)), (0.1, 0.0, -0.1), centred=True)
+#: The same with weights for all bands of ``bands16``.
+MODEL4 = LinearSoftmax(((1.0, -0.5, 0.4, 0.3), (-0.7, 0.9, -0.2, 0.6), (0.2, 0.3, 0.8, -0.4)), (0.1, 0.0, -0.1), centred=True)
 #: Half the patch size of the registered queries.
 S = 8
 IMAGE = (1000, 800)
