@@ -19,13 +19,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rasterloom.llm import textbytes as tb
-from rasterloom.llm.folds import fold, sampled_labels
+from rasterloom.llm.folds import fold, known_labels
 from rasterloom.shared import settle
 
 DISCOUNT = 5
 WINDOW = 2
-#: Labelled documents that are counted, and that the curve is fitted on.
-MOST_LABELLED, MOST_FITTED = 1_000_000, 20_000
+#: Labels that are broadcast (more are joined by a shuffle), and labelled documents that the curve is fitted on.
+MOST_BROADCAST, MOST_FITTED = 1_000_000, 20_000
 FIT_FOLD = 1
 #: Words whose classes differ that one broadcast holds; more make further blocks.
 BLOCK = 4_000_000
@@ -129,14 +129,17 @@ def logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float(w[0] / scale), float(w[1] - w[0] * mean / scale)
 
 
-def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text", most: int = MOST_LABELLED) -> Model:
-    """The models' counts from all labelled documents outside folds 0 and FIT_FOLD, up to ``most``; the curve from FIT_FOLD.
+def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text", broadcast: int = MOST_BROADCAST) -> Model:
+    """The models' counts from all labelled documents outside folds 0 and FIT_FOLD; the curve from FIT_FOLD, up to MOST_FITTED.
 
-    The sampled labels (16 bytes each, ``most`` at the most) are broadcast, so texts aren't shuffled.
+    Up to ``broadcast`` labels (16 bytes each) are broadcast, so texts aren't shuffled; beyond, the texts of the counted folds are.
     """
-    sample = settle(sampled_labels(labels, label_col, most, id_col))
-    known = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(sample), "id")
-    blocks, neutral = ratios(settle(contexts(known.where(F.col("fold") != FIT_FOLD))))
+    sample = settle(known_labels(labels, label_col, id_col))
+    counted = sample.where(F.col("fold") != FIT_FOLD)
+    counted = F.broadcast(counted) if counted.count() <= broadcast else counted.hint("shuffle_hash")
+    inside = docs.where(~fold(F.col(id_col)).isin(0, FIT_FOLD))
+    known = inside.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(counted, "id")
+    blocks, neutral = ratios(settle(contexts(known)))
     model = Model(blocks, neutral)
     chosen = sample.where(F.col("fold") == FIT_FOLD).orderBy(F.xxhash64("id"), "id").limit(MOST_FITTED).select("id", "y")
     fitted = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id").select("text", "y")
