@@ -2,8 +2,11 @@
 
 import random
 
+import pytest
+
 from rasterloom.llm import toxicity
 from test_other_operators import labelled
+from test_text_operators import frame
 
 
 def test_counts_take_all_labels_beyond_the_broadcast(spark):
@@ -14,3 +17,14 @@ def test_counts_take_all_labels_beyond_the_broadcast(spark):
     assert len(a.blocks[0].value[0])
     assert [x.tolist() for x in a.blocks[0].value] == [x.tolist() for x in b.blocks[0].value]
     assert (a.neutral, a.slope, a.shift) == (b.neutral, b.slope, b.shift)
+
+
+def test_near_stage_keeps_one_row_of_repeated_and_null_ids(spark):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    a, b, c, d = "a b c d e f", "g h i j k l", "m n o p q r", "s t u v w x"
+    rows = [(5, a), (5, a), (5, b), (7, b), (None, a), (None, c), (None, c), (None, c.upper()), (9, d), (2, None), (2, None), (None, "")]
+    docs = frame(spark, [t for _, t in rows], [k for k, _ in rows])
+    got = pipeline.STAGES[2][1](spark, docs, "")
+    assert got.columns == docs.columns
+    left = sorted(((r["doc_id"], (r["text"] or "").lower(), r["text"] is None) for r in got.collect()), key=str)
+    assert left == sorted([(5, a, False), (5, b, False), (None, c, False), (9, d, False), (2, "", True), (2, "", True), (None, "", False)], key=str)
