@@ -36,7 +36,7 @@ _DONORS = np.stack([np.random.default_rng(1000 + k).permutation(BINS) for k in r
 def shingles(values: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct shingles of a slice's texts: their hashes, and the row of each."""
     starts, ends, first = tb.spans(tb.NOT_SPACE[values], offsets)
-    words = tb.span_hash(tb.prefix_hash(values, tb.LOWER_VALUES), starts, ends)
+    words = tb.span_hash(tb.prefix_hash(values, tb.LOWER_CODES), starts, ends)
     row, n = tb.row_of(first), np.diff(first)
     ok = tb.in_one_row(first, SHINGLE, len(words))
     grams = tb.ngram_hash(words, SHINGLE)

@@ -210,14 +210,14 @@ class Contexts:
             low, high = begin[by[x]], (begin[by[x:y]] + size[by[x:y]]).max()
             if at + high - low + 1 > len(self.sums):
                 self.sums = np.append(self.sums, np.empty(at + high - low + 1, np.uint64))
-            self.sums[at : at + high - low + 1] = tb.prefix_hash(data[low:high])
+            self.sums[at : at + high - low + 1] = tb.window_sums(data[low:high])
             self.origin[by[x:y]], self.base[by[x:y]] = low, at
             at += high - low + 1
 
     def hashes(self, which: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
         """Hashes of the bytes start..stop of contexts."""
         local = self.begin[which] - self.origin[which] + start
-        return tb.span_hash_at(self.sums, self.base[which] + local, stop - start, local)
+        return tb.window_hash(self.sums, self.base[which] + local, stop - start, local)
 
     def pieces(self, which: np.ndarray, step: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
         """(contexts, key, start, stop) for windows with low..high bytes left of the anchor, for ranges of ``step``.
@@ -255,7 +255,7 @@ def window_owners(data: np.ndarray, begin: np.ndarray, size: np.ndarray, cuts: n
     s = order[context[order] >= 0]
     if not len(s):
         return np.zeros(0, np.int64)
-    code = tb.span_hash(tb.prefix_hash(text.astype(np.uint8)), s, s + LENGTH)
+    code = tb.window_hash(tb.window_sums(text.astype(np.uint8)), s, np.full(len(s), LENGTH), s)
     runs = _edges(groups[context[s]], code)
     found = np.empty(len(text), np.int64)
     found[s] = np.repeat(np.minimum.reduceat(least[context[s]], runs[:-1]), np.diff(runs))

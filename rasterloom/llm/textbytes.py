@@ -16,9 +16,15 @@ import pyarrow.compute as pc
 
 #: Bytes of text handled at once; bounds the temporaries (about 60 bytes per byte).
 SLICE_BYTES = 1 << 20
+#: The prime modulus of span hashes, and their base.
+PRIME = np.uint64((1 << 61) - 1)
+_ROOT = 0x1B0E5D3C7A94F268 % ((1 << 61) - 1)
+#: Bytes of a span whose sums can't overflow.
+_LONG = 1 << 22
 _BASE = np.uint64(0x9E3779B97F4A7C13)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C13, -1, 1 << 64))
 _powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+_roots: list[np.ndarray] = [np.ones(1, np.uint32), np.zeros(1, np.uint32), np.ones(1, np.uint64)]
 
 #: ``[^\x20\x09-\x0D]``
 NOT_SPACE = np.ones(256, bool)
@@ -33,9 +39,11 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
 _rng = np.random.default_rng(20240607)
-#: A random odd 64-bit value for each byte, and the same with A-Z folded to a-z.
+#: A random odd 64-bit value for each byte, for the hashes of short windows.
 BYTE_VALUES = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-LOWER_VALUES = BYTE_VALUES[LOWER]
+#: What a byte counts in a span hash, and the same with A-Z folded to a-z.
+BYTE_CODES = np.arange(1, 257, dtype=np.uint64)
+LOWER_CODES = BYTE_CODES[LOWER]
 
 
 def modest_batches(spark) -> None:
@@ -122,22 +130,78 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def prefix_hash(values: np.ndarray, table: np.ndarray = BYTE_VALUES) -> np.ndarray:
-    """Running polynomial sums from which ``span_hash`` takes the hash of any span."""
+def _fold(x: np.ndarray) -> np.ndarray:
+    """64-bit values modulo PRIME."""
+    x = (x & PRIME) + (x >> np.uint64(61))
+    return np.where(x >= PRIME, x - PRIME, x)
+
+
+def _times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Products modulo PRIME of values below it."""
+    half, low = np.uint64(31), np.uint64((1 << 31) - 1)
+    a1, a0, b1, b0 = a >> half, a & low, b >> half, b & low
+    middle = a1 * b0 + a0 * b1
+    return _fold(_fold((a1 * b1 << np.uint64(1)) + (middle >> np.uint64(30)) + ((middle & np.uint64((1 << 30) - 1)) << half)) + _fold(a0 * b0))
+
+
+def _root_powers(n: int) -> list[np.ndarray]:
+    """Powers of the base as low 32 and high bits, and powers of its inverse; at least n of each."""
+    if len(_roots[2]) < n:
+        n = max(n, SLICE_BYTES + (SLICE_BYTES >> 2))
+        found = []
+        for base in (_ROOT, pow(_ROOT, -1, int(PRIME))):
+            x = np.ones(n, np.uint64)
+            at = 1
+            while at < n:
+                step = np.uint64(pow(base, at, int(PRIME)))
+                x[at : 2 * at] = _times(x[: min(at, n - at)], step)
+                at *= 2
+            found.append(x)
+        _roots[:] = (found[0] & np.uint64(0xFFFFFFFF)).astype(np.uint32), (found[0] >> np.uint64(32)).astype(np.uint32), found[1]
+    return _roots
+
+
+def prefix_hash(values: np.ndarray, codes: np.ndarray = BYTE_CODES) -> tuple[np.ndarray, np.ndarray]:
+    """Running polynomial sums (of the powers' low and high bits) from which ``span_hash`` takes the hash of any span."""
+    low, high, _ = _root_powers(len(values) + 1)
+    code = codes[values]
+    sums = np.zeros((2, len(values) + 1), np.uint64)
+    np.cumsum(code * low[: len(values)], out=sums[0, 1:])
+    np.cumsum(code * high[: len(values)], out=sums[1, 1:])
+    return sums[0], sums[1]
+
+
+def span_hash(sums: tuple[np.ndarray, np.ndarray], starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hashes of spans, a polynomial in a fixed random point modulo 2**61 - 1, mixed with the length.
+
+    Equal content gives equal hashes wherever it stands; two different spans of n bytes clash with a
+    probability of at most n / 2**61 over the choice of the point, however regular they are.
+    """
+    low, high = sums
+    back = _root_powers(len(low))[2]
+
+    def between(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        up = _fold(high[b] - high[a])
+        return _fold(_fold(low[b] - low[a]) + ((up << np.uint64(32) & PRIME) | up >> np.uint64(29)))
+
+    total = between(starts, np.minimum(ends, starts + _LONG))
+    for k in np.flatnonzero(ends - starts > _LONG):  # each of them is megabytes
+        cuts = np.append(np.arange(starts[k] + _LONG, ends[k], _LONG), ends[k])
+        rest = int(sum(int(x) for x in between(cuts[:-1], cuts[1:])) % int(PRIME))
+        total[k] = (int(total[k]) + rest) % int(PRIME)
+    return mix(_times(total, back[starts]) + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+
+
+def window_sums(values: np.ndarray) -> np.ndarray:
+    """Running sums for ``window_hash``, modulo 2**64: cheaper than ``prefix_hash``, for windows of some dozens of bytes only."""
     forward, _ = _power(len(values) + 1)
     sums = np.zeros(len(values) + 1, np.uint64)
-    np.cumsum(table[values] * forward[: len(values)], out=sums[1:])
+    np.cumsum(BYTE_VALUES[values] * forward[: len(values)], out=sums[1:])
     return sums
 
 
-def span_hash(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of spans; equal content gives equal hashes wherever it stands."""
-    _, back = _power(len(sums))
-    return mix((sums[ends] - sums[starts]) * back[starts] + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
-
-
-def span_hash_at(sums: np.ndarray, at: np.ndarray, size: np.ndarray, since: np.ndarray) -> np.ndarray:
-    """``span_hash`` where several runs of sums stand in one array: spans at ``at``, ``since`` bytes after their run's start."""
+def window_hash(sums: np.ndarray, at: np.ndarray, size: np.ndarray, since: np.ndarray) -> np.ndarray:
+    """Hashes of windows at ``at``, where several runs of sums stand in one array; ``since`` bytes after their run's start."""
     _, back = _power(int(since.max(initial=0)) + 1)
     return mix((sums[at + size] - sums[at]) * back[since] + size.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 

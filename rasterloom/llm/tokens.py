@@ -4,7 +4,8 @@ A byte-level BPE vocabulary never merges across the borders of the tokenizer's o
 and some of those are plain to see in the bytes: after a visible character before white space,
 after a letter before another ASCII character, after a lone line break before a visible one.  Texts
 are cut there in numpy, the pieces hashed, and only pieces that this worker hasn't met are given
-to the tokenizer; a text's ids are its pieces' ids in a row.
+to the tokenizer; a text's ids are its pieces' ids in a row.  A text that holds one of the tokenizer's
+added tokens (such as an end mark) is one piece, as the tokenizer looks for those first.
 """
 
 from __future__ import annotations
@@ -42,7 +43,8 @@ class PieceTokenizer:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        #: Tokens whose strings stand for themselves in a text; a text with one is never cut.
+        self.whole = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.most = most
         self._forget()
 
@@ -87,6 +89,13 @@ class PieceTokenizer:
             seen = letter | VISIBLE[before]
             cut[1:] = BLANK[now] & seen | letter & MARK[now]
             cut[2:] |= (before[1:] == 10) & seen[:-1] & VISIBLE[now[1:]]
+            data = values.tobytes()
+            for mark in self.whole:
+                at = data.find(mark)
+                while at >= 0:
+                    row = int(np.searchsorted(offsets, at, "right")) - 1
+                    cut[offsets[row] : offsets[row + 1]] = False
+                    at = data.find(mark, max(at + 1, int(offsets[row + 1])))
             cut[offsets[:-1][offsets[:-1] < offsets[1:]]] = True
         starts = np.flatnonzero(cut)
         ends = np.append(starts[1:], n)
@@ -97,7 +106,6 @@ class PieceTokenizer:
             at = np.searchsorted(self.keys, keys)
             new = self.keys[np.minimum(at, len(self.keys) - 1)] != keys
         if new.any():
-            data = values.tobytes()
             if len(self.keys) + int(new.sum()) > self.most or len(self.ids) > 8 * self.most:
                 self._forget()  # what is remembered makes room for this slice
                 new[:] = True

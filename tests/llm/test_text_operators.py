@@ -100,12 +100,19 @@ def test_line_dedup(spark, most):
 
 
 def test_runs_settle_over_batches(spark):
-    runs = line_dedup.LineRuns(least=3, partitions=2)
+    runs = line_dedup.LineRuns(spark, least=3, partitions=2)
+    assert runs.common().count() == 0
     for _ in range(7):
         runs.add(spark.createDataFrame([(1, 1, 1), (2, 2, 2)], "h1 long, h2 long, n long"))
     runs.add(spark.createDataFrame([(3, 3, 2)], "h1 long, h2 long, n long"))
     assert sorted(tuple(r) for r in runs.common().collect()) == [(1, 1), (2, 2)]
     assert any(x is not None for x in runs.settled)
+    full = [x for x in runs.levels + runs.settled if x is not None]
+    with line_dedup.sorted_scans(spark):
+        plan = runs._merge(full[0], full[-1])._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Exchange" not in plan and "Sort [" not in plan
+    runs.close()
+    assert not spark.catalog.listTables()
 
 
 # ---- decontamination
@@ -242,9 +249,7 @@ def vocabulary():
 def reference(path):
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(path)
 
 
 def test_pieces_give_the_tokenizers_ids(vocabulary):
