@@ -14,8 +14,8 @@ def test_counts_take_all_labels_beyond_the_broadcast(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string").cache()
     known = spark.createDataFrame(labels, "doc_id long, quality int, toxic int").cache()
     a, b = toxicity.fit(docs, known), toxicity.fit(docs, known, broadcast=10)
-    assert len(a.blocks[0].value[0])
-    assert [x.tolist() for x in a.blocks[0].value] == [x.tolist() for x in b.blocks[0].value]
+    assert len(a.shared.value[0][0])
+    assert [x.tolist() for t in a.shared.value for x in t] == [x.tolist() for t in b.shared.value for x in t]
     assert (a.neutral, a.slope, a.shift) == (b.neutral, b.slope, b.shift)
 
 
