@@ -19,12 +19,15 @@ from pyspark.sql import functions as F
 
 from rasterloom.llm import textbytes as tb
 from rasterloom.llm.folds import fold, sampled_labels
+from rasterloom.shared import settle
 
 BITS, DIMENSIONS = 15, 8
 GRAMS = (3, 4)
 #: Labelled rows to learn from, those with the smallest hash of their id.
 MOST_LABELLED = 6000
-EPOCHS, RATE, BATCH = 4, 0.5, 16
+#: Bytes of bags that reach the driver; of more, rows with the smallest hashes up to that are learnt from.
+MOST_BYTES = 192 << 20
+EPOCHS, RATE, BATCH = 8, 1.0, 16
 #: Levels of repetition told apart, each twice as often as the one before.
 _MARKS = 8
 
@@ -113,11 +116,13 @@ def score(values: np.ndarray, offsets: np.ndarray, table: np.ndarray, bias: floa
     return 1 / (1 + np.exp(-np.clip(logit / np.maximum(totals, 1) + bias, -50, 50)))
 
 
-def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text", most: int = MOST_LABELLED) -> tuple[np.ndarray, float]:
+def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text", most: int = MOST_LABELLED, most_bytes: int = MOST_BYTES) -> tuple[np.ndarray, float]:
     """The table and bias learnt from at most ``most`` labelled documents outside the held-out fold.
 
-    What reaches the driver is bounded by ``most`` bags of at most 2**BITS buckets.  Without any
-    labelled document the model is neutral.
+    What reaches the driver is bounded by ``most`` rows and ``most_bytes`` bytes of bags (one bag at
+    least).  Documents come in the order of their id's hash, those that share an id in the order of
+    their bag's, so a fit can be repeated.  Null ids and labels aren't learnt from; a null or empty text is
+    an empty bag.  Without any labelled document the model is neutral.
     """
     sample = sampled_labels(labels, label_col, most, id_col)
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(sample), "id")
@@ -125,10 +130,17 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, values, offsets in tb.slices(batches):
             found = list(bags(values, offsets))
-            yield pa.RecordBatch.from_arrays([part.column("id"), part.column("y"), pa.array([x.astype(np.int32) for x, _ in found], pa.list_(pa.int32())), pa.array([x for _, x in found], pa.list_(pa.float32()))], names=["id", "y", "buckets", "shares"])
-
-    kind = texts.schema["id"].dataType.simpleString()
-    got = texts.select("id", "text", "y").mapInArrow(run, f"id {kind}, y int, buckets array<int>, shares array<float>").toArrow().sort_by("id")
+            yield pa.RecordBatch.from_arrays([part.column("place"), part.column("y"), pa.array([x.astype(np.int32) for x, _ in found], pa.list_(pa.int32())), pa.array([x for _, x in found], pa.list_(pa.float32()))], names=["place", "y", "buckets", "shares"])
+
+    found = settle(texts.select(F.xxhash64("id").alias("place"), "text", "y").mapInArrow(run, "place long, y int, buckets array<int>, shares array<float>").withColumn("code", F.xxhash64("buckets", "shares")))
+    sizes = found.select("place", "code", (F.size("buckets") * 8 + 32).alias("bytes")).orderBy("place", "code").limit(most).toArrow()
+    fits = int(np.searchsorted(np.cumsum(sizes.column("bytes").to_numpy()), most_bytes, "right"))
+    if not sizes.num_rows:
+        return train([], np.zeros(0, np.int64))
+    last = sizes.slice(max(fits, 1) - 1, 1).to_pylist()[0]
+    chosen = found.where((F.col("place") < last["place"]) | ((F.col("place") == last["place"]) & (F.col("code") <= last["code"])))
+    # equal rows at the border all pass the filter; the number decides
+    got = chosen.orderBy("place", "code").limit(max(fits, 1)).toArrow().sort_by([("place", "ascending"), ("code", "ascending"), ("y", "ascending")])
     rows = [(np.array(b.values), np.array(s.values)) for b, s in zip(got.column("buckets"), got.column("shares"), strict=True)]
     return train(rows, got.column("y").to_numpy().astype(np.int64))
 
@@ -137,7 +149,8 @@ def quality_scores(docs: DataFrame, model: tuple[np.ndarray, float], id_col: str
     """id, held_out, score (0 to 1, higher: quality likelier), predicted, for every row of ``docs``.
 
     A null or empty text has no features and gets the score of the bias.  Rows are scored each for
-    itself, whole; other columns aren't read.
+    itself, whole however long; repeated rows and null ids too, equal texts get equal scores.  Other
+    columns aren't read, so names can't clash; a table without rows gives none.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     narrow = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), (fold(F.col(id_col)) == 0).alias("held_out"))
