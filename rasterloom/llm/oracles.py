@@ -11,8 +11,8 @@ SPACES = "chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 ALNUM = r"regexp_extract_all(translate(text, " + AZ + r"), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 WORD = r"[^\x20\x09-\x0D]+"
 
-WARC = """with p as (select page_id, strlen(coalesce(html, '')) as b, sha256(coalesce(html, '')) as g from pages), f as (select *, min(page_id) over (partition by g) as m from p)
-select page_id, b as payload_bytes, g as payload_digest, case when b >= 100 and page_id <> m then 'revisit' else 'response' end as record_type, case when b >= 100 and page_id <> m then m end as refers_to from f"""
+WARC = """with p as (select page_id, strlen(coalesce(html, '')) as b, sha256(coalesce(html, '')) as g, '/' || coalesce(regexp_extract(url, '://[^/]*/(.*)$', 1), '') as r from pages), f as (select *, min(page_id) over (partition by g) as m from p)
+select page_id, b as payload_bytes, g as payload_digest, case when b >= 100 and page_id <> m then 'revisit' else 'response' end as record_type, case when b >= 100 and page_id <> m then m end as refers_to, r as requested, 1::bigint as n_requests, 1::bigint as n_metadata from f"""
 
 DECONTAMINATE = f"""with b as (select item_id::varchar as item, {ALNUM} as w from benchmark where text is not null),
 pat as (select distinct item, least(len(w), 10) as m, array_to_string(w[i:i + least(len(w), 10) - 1], ' ') as p from (select item, w, unnest(range(1, len(w) - least(len(w), 10) + 2)) as i from b where len(w) > 0)),

@@ -48,16 +48,23 @@ def op2_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page written as a WARC capture, then read back and assembled."""
-    found = round_trip(spark, table(spark, sf_dir, "pages"), shared_dir(spark))
+    return digests_of(round_trip(spark, table(spark, sf_dir, "pages"), shared_dir(spark)))
+
+
+def digests_of(captures: DataFrame) -> DataFrame:
+    """The digest columns of nested captures: from the response, its metadata record, and the first line of its request."""
     digest = F.regexp_extract("response.payload_digest", "^sha256:(.*)$", 1)
     stated = F.when(F.col("response.type") == "revisit", F.regexp_extract(F.col("metadata.block").cast("string"), "payload-bytes: ([0-9]+)", 1).try_cast("long"))
     number = lambda c: F.regexp_extract(c, "^urn:capture:(-?[0-9]+):response$", 1).try_cast("long")
-    return found.select(
+    return captures.select(
         number("record_id").alias("page_id"),
         F.coalesce(stated, "response.payload_length").alias("payload_bytes"),
         F.when(F.col("response.type") == "revisit", digest).otherwise(F.col("response.payload_sha256")).alias("payload_digest"),
         F.col("response.type").alias("record_type"),
         number("response.refers_to").alias("refers_to"),
+        F.regexp_extract(F.col("request.block").cast("string"), "^GET (.*) HTTP/1.1\r\n", 1).alias("requested"),
+        F.col("n_requests").cast("long").alias("n_requests"),
+        F.col("n_metadata").cast("long").alias("n_metadata"),
     )
 
 

@@ -19,9 +19,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rasterloom.shared import settle
+
 #: Bytes after which a new archive is begun.
 ARCHIVE_BYTES = 64 << 20
 _READ = 1 << 20
+#: Repeated digests (about 100 bytes each) that are broadcast; more meet the payloads in a shuffle.
+MOST_BROADCAST = 200_000
 
 RECORD = "record_id string, type string, concurrent_to string, refers_to string, target_uri string, payload_digest string, headers map<string,string>, payload_length long, block binary"
 
@@ -70,6 +74,8 @@ def write_archives(captures: DataFrame, folder: str) -> DataFrame:
 
     Each task attempt writes files of its own and only the rows of successful tasks name them, so
     a lost executor leaves nothing but unnamed files.  ``name`` and ``refers_to`` are strings, payload binary.
+    A null url writes no target header, a null payload is empty; repeated rows are written each.  A
+    payload is held whole in memory, once, however long; other columns aren't read.  A task without rows writes nothing.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -134,8 +140,10 @@ def parse(raw: bytes) -> tuple[dict[str, str], bytes]:
 def read_records(paths: DataFrame, with_blocks: bool = True) -> DataFrame:
     """One row per record of the archives named by ``paths.path``, with RECORD's columns.
 
-    An archive is read by one task, record by record; digests and lengths of HTTP payloads are
-    computed from what is read.  ``with_blocks`` false leaves the ``block`` of responses null.
+    An archive is read by one task, record by record, so memory is bounded by the longest record; digests
+    and lengths of HTTP payloads are computed from what is read.  ``with_blocks`` false leaves the ``block``
+    of responses null.  A path listed twice is read twice, other columns aren't read, and no paths give no
+    records.  Fields that a record lacks are null; what isn't a WARC record is an error.
     """
     schema = RECORD + ", payload_sha256 string"
 
@@ -175,7 +183,9 @@ def transactions(records: DataFrame) -> DataFrame:
     ``request`` and ``metadata`` are the records concurrent to it, null without one; of several the one with
     the smallest record id, with their number in n_requests and n_metadata, so that no identifier,
     however hot, gathers its records in a task.  A request or metadata record whose concurrent-to
-    names no response is left out, as are records without an id; repeated response ids give a row each.
+    names no response is left out, as are records without an id; repeated response ids give a row
+    each; no records give no rows.  The joins are merge joins by hint: a plan can't know how
+    many records the archives hold, and would broadcast them.
     """
     body = F.struct("record_id", "type", "headers", "payload_length", "block")
 
@@ -185,29 +195,39 @@ def transactions(records: DataFrame) -> DataFrame:
 
     main = records.where(F.col("type").isin("response", "revisit") & F.col("record_id").isNotNull())
     main = main.select("record_id", "target_uri", F.struct("type", "refers_to", "payload_digest", "payload_length", "payload_sha256", "headers", "block").alias("response"))
-    joined = main.join(side("request", "n_requests"), "record_id", "left").join(side("metadata", "n_metadata"), "record_id", "left")
+    joined = main
+    for kind, name in (("request", "n_requests"), ("metadata", "n_metadata")):
+        joined = joined.join(side(kind, name).hint("merge"), "record_id", "left")
     return joined.withColumns({n: F.coalesce(n, F.lit(0)) for n in ("n_requests", "n_metadata")})
 
 
-def captures_of(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least: int = 100) -> DataFrame:
+def captures_of(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least: int = 100, most_broadcast: int = MOST_BROADCAST) -> DataFrame:
     """(name, url, payload, digest, refers_to) of pages: of equal payloads of at least ``least`` bytes the smallest id answers, others refer to it.
 
     A null payload is empty.  Rows with a null id are named ``null`` and, like smaller payloads, all
-    responses.  Where the smallest id itself stands twice, each of those rows is a response.
+    responses.  Where the smallest id itself stands twice, each of those rows is a response.  Other columns
+    aren't read; no pages give no captures.  Only ids and digests are shuffled to find equal payloads.  The digests
+    found twice are broadcast up to ``most_broadcast`` after they are counted; beyond, payloads of ``least`` bytes
+    and more are shuffled by digest, smaller ones never.
     """
     payload = F.coalesce(F.col(html_col), F.lit("")).cast("binary")
-    rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), payload.alias("payload"), F.sha2(payload, 256).alias("digest"))
+    rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), payload.alias("payload"))
     eligible = F.octet_length("payload") >= least
-    firsts = pages.select(F.col(id_col).alias("id"), payload.alias("payload")).where(eligible & F.col("id").isNotNull())
-    firsts = firsts.select("id", F.sha2("payload", 256).alias("digest")).groupBy("digest").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n"))
-    firsts = firsts.where(F.col("n") > 1).select("digest", "first")
-    joined = rows.join(firsts, "digest", "left")
+    narrow = rows.where(eligible & F.col("id").isNotNull()).select("id", F.sha2("payload", 256).alias("digest"))
+    firsts = narrow.groupBy("digest").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n")).where(F.col("n") > 1).select("digest", "first")
+    firsts = settle(firsts)
+    rows = rows.withColumn("digest", F.sha2("payload", 256))
+    if firsts.count() <= most_broadcast:
+        joined = rows.join(F.broadcast(firsts), "digest", "left")
+    else:
+        small = rows.where(~eligible).withColumn("first", F.lit(None).cast(firsts.schema["first"].dataType))
+        joined = rows.where(eligible).join(firsts.hint("merge"), "digest", "left").unionByName(small)
     again = eligible & F.col("first").isNotNull() & (F.col("id") != F.col("first"))
     return joined.select(F.coalesce(F.col("id").cast("string"), F.lit("null")).alias("name"), "url", "payload", "digest", F.when(again, F.col("first").cast("string")).alias("refers_to"))
 
 
 def round_trip(spark: SparkSession, pages: DataFrame, folder: str) -> DataFrame:
-    """Pages written as archives below ``folder`` and read back as transactions (without blocks)."""
+    """Pages written as archives below ``folder`` and read back as transactions (without blocks); see the parts for nulls and repeats."""
     written = write_archives(captures_of(pages), folder)
     written.write.parquet(f"{folder}-index")
     return transactions(read_records(spark.read.parquet(f"{folder}-index"), with_blocks=False))
