@@ -1,8 +1,7 @@
 """URL filtering by host-suffix and path-prefix expressions.
 
-A rule is an expression ``host/path``.  Each URL is expanded into the expressions that a
-rule could have: its host's suffixes with as many labels as some rule has, times its path's
-prefixes as long as some rule's path.  Expressions meet the rules on the first four bytes of
+A rule is an expression ``host/path``.  Each URL is expanded into its host's suffixes and, for those
+that some rule has, its path's prefixes.  Expressions meet the rules on the first four bytes of
 their SHA-256; the full digests confirm, then the longest rule wins.  DataFrame operations only.
 """
 
@@ -43,33 +42,42 @@ def url_filter(pages: DataFrame, rules: DataFrame, url_col: str = "url", default
 
     ``rules``: rule, verdict, host, path.  A rule fits its host and all subdomains when the path
     starts with its own; the longest rule wins, block before allow where the same expression
-    stands twice.  A null url, or one without ``://``, has empty host and path and no rule.  Verdicts depend
-    on the url alone, so rows are judged per distinct url and any rows, repeated or not, take
-    theirs.  Result columns replace columns of ``pages`` with the same names.
+    stands twice.  Rules without a host, or with a null in any column, fit nothing; without rules every
+    url gets the default.  A null url, or one without ``://``, has empty host and path and no rule;
+    null urls take no part in any join.  Verdicts depend on the url alone, so each distinct url is
+    judged once, whole however long, and any rows, repeated or not, take theirs (a hot url's rows are split by
+    the adaptive join).  Result columns replace columns of ``pages`` with the same names; no pages give no rows.
+
+    A url is first expanded into its host's suffixes, as long as some rule's host (at most one expression
+    per label), which meet the rules' hosts; for each host met, into its path's prefixes as long
+    as some path of that host.  So what arises grows with the rules that a url's hosts have, not
+    with all shapes of all rules.
     """
-    spark = pages.sparkSession
-    keyed = rules.where(F.length("host") > 0).select("rule", "verdict", F.size(F.split("host", r"\.")).alias("labels"), F.length("path").alias("reach"), _digest(F.concat_ws("\n", "host", "path")).alias("full"))
-    keyed = keyed.groupBy("full").agg(F.max_by(F.struct("rule", "verdict", "labels", "reach"), "verdict").alias("r")).select("full", "r.*", F.substring("full", 1, 8).alias("short"))
-    shape = keyed.agg(F.collect_set("labels").alias("labels"), F.collect_set("reach").alias("reach"), F.sum(F.length("rule") + F.lit(120)).alias("bytes")).first()
+    keyed = rules.where((F.length("host") > 0) & F.col("rule").isNotNull() & F.col("verdict").isNotNull() & F.col("path").isNotNull())
+    keyed = keyed.select("rule", "verdict", "host", F.size(F.split("host", r"\.")).alias("labels"), F.length("path").alias("reach"), _digest(F.concat_ws("\n", "host", "path")).alias("full"))
+    keyed = keyed.groupBy("full").agg(F.max_by(F.struct("rule", "verdict", "host", "labels", "reach"), "verdict").alias("r")).select("full", "r.*", F.substring("full", 1, 8).alias("short"))
+    # a host has at most some dozens of labels
+    labels = {r["labels"]: r["bytes"] for r in keyed.groupBy("labels").agg(F.sum(F.octet_length("rule") + F.octet_length("host") + F.lit(240)).alias("bytes")).collect()}
+    small = sum(labels.values()) <= MOST_BROADCAST
+    side = F.broadcast if small else lambda df: df.hint("merge")
+    hosts = keyed.groupBy("host").agg(F.sort_array(F.collect_set("reach")).alias("reach")).select(_digest(F.col("host")).alias("host_full"), "reach").withColumn("host_short", F.substring("host_full", 1, 8))
     urls = pages.select(F.col(url_col).alias("url")).where(F.col("url").isNotNull()).distinct()
     urls = urls.select("url", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
-    parts = F.split("host", r"\.")
-    # element by element, so that only as many suffixes and prefixes arise as rules have shapes
-    suffixes = [F.when(F.size(parts) >= n, F.array_join(F.slice(parts, -n, n), ".")) for n in sorted(shape["labels"])]
-    prefixes = [F.when(F.length("path") >= n, F.substring("path", 1, n)) for n in sorted(shape["reach"])]
-    either = [F.concat_ws("\n", h, p) for h in suffixes for p in prefixes]
-    some = [F.when(h.isNotNull() & p.isNotNull(), F.lit(True)) for h in suffixes for p in prefixes]
-    if either:
-        tests = F.array_compact(F.array(*(F.when(s, _digest(e)) for s, e in zip(some, either, strict=True))))
-        expanded = urls.select("url", F.explode(tests).alias("test")).select("url", "test", F.substring("test", 1, 8).alias("short"))
-        side = F.broadcast(keyed) if shape["bytes"] <= MOST_BROADCAST else keyed
-        fits = expanded.join(side, "short").where(F.col("test") == F.col("full"))
-        best = fits.groupBy("url").agg(F.max_by(F.struct("rule", "verdict"), F.struct(F.length("rule"), "verdict")).alias("best"))
-    else:
-        best = spark.createDataFrame([], "url string, best struct<rule:string,verdict:string>")
+    parts, path = F.split("host", r"\."), F.col("path")
+    lengths = F.array(*map(F.lit, sorted(labels))).cast("array<int>")
+    suffixes = F.transform(F.filter(lengths, lambda n: n <= F.size(parts)), lambda n: F.array_join(F.slice(parts, -n, n), "."))
+    asked = urls.select("url", "path", F.explode(suffixes).alias("suffix")).withColumn("test", _digest(F.col("suffix"))).withColumn("host_short", F.substring("test", 1, 8))
+    met = asked.join(side(hosts), "host_short").where(F.col("test") == F.col("host_full"))
+    prefixes = F.transform(F.filter("reach", lambda n: n <= F.length(path)), lambda n: _digest(F.concat_ws("\n", F.col("suffix"), F.substring(path, F.lit(1), n))))
+    expanded = met.select("url", F.explode(prefixes).alias("test")).select("url", "test", F.substring("test", 1, 8).alias("short"))
+    fits = expanded.join(side(keyed.select("short", "full", "rule", "verdict")), "short").where(F.col("test") == F.col("full"))
+    best = fits.groupBy("url").agg(F.max_by(F.struct("rule", "verdict"), F.struct(F.length("rule"), "verdict")).alias("best"))
     base = pages.drop(*(n for n in names if n != url_col))
     best = best.select(F.col("url").alias("_judged_url"), F.col("best").alias("_judged"))
-    out = base.join(best, F.col(url_col) == F.col("_judged_url"), "left")
+    there = base.where(F.col(url_col).isNotNull()).join(best.hint("merge"), F.col(url_col) == F.col("_judged_url"), "left")
+    none = F.lit(None)
+    gone = base.where(F.col(url_col).isNull()).withColumns({"_judged_url": none.cast("string"), "_judged": none.cast(best.schema["_judged"].dataType)})
+    out = there.unionByName(gone)
     return out.select(
         *base.columns,
         host_of(F.col(url_col)).alias(names[0]),
