@@ -1,8 +1,8 @@
 r"""Line deduplication with levelled sorted runs of line hashes.
 
-The corpus arrives in batches.  A *run* holds (key, documents) for some batches, hash
-partitioned and sorted by key and checkpointed, so that two runs meet in a merge join
-with neither exchange nor sort.  A new batch merge-anti-joins the settled runs (keys that
+The corpus arrives in batches.  A *run* holds (key, documents) for some batches as a table in the shared
+folder, bucketed by key into a fixed number of files, each sorted by key, so two runs meet in a
+merge join with neither exchange nor sort.  A new batch merge-anti-joins the settled runs (keys that
 have already reached the threshold need no more counting) and adds what is left as a run
 of its own; two runs of one level are compacted into one of the next, and keys that reach
 the threshold on the way move to the settled side.
@@ -14,15 +14,16 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from rasterloom.shared import settle
+from rasterloom.shared import remove, settle, shared_dir
 
 SPACE = b" \t\n\x0b\x0c\r"
 KEY = ["h1", "h2"]
@@ -39,16 +40,41 @@ def _texts(column: pa.Array) -> list[bytes]:
     return [b"" if x is None else x.encode() for x in column.to_pylist()]
 
 
+#: Lets a scan say that its buckets are sorted, which each is where it is one file.
+SORTED_SCAN = "spark.sql.legacy.bucketedTableScan.outputOrdering"
+
+
+@contextmanager
+def sorted_scans(spark: SparkSession) -> Iterator[None]:
+    """Plans made inside know the order of runs."""
+    was = spark.conf.get(SORTED_SCAN)
+    spark.conf.set(SORTED_SCAN, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(SORTED_SCAN, was)
+
+
 class LineRuns:
-    """Levelled runs; ``add`` takes a batch of (h1, h2, n), ``common`` gives the keys with n >= least."""
+    """Levelled runs; ``add`` takes a batch of (h1, h2, n), ``common`` gives the keys with n >= least.
 
-    def __init__(self, least: int, partitions: int):
-        self.least, self.partitions = least, partitions
+    ``close`` drops the runs' tables and files.  No batches, or empty ones, give no keys.
+    """
+
+    def __init__(self, spark: SparkSession, least: int, partitions: int):
+        self.spark, self.least, self.partitions = spark, least, partitions
         self.levels: list[DataFrame | None] = []
         self.settled: list[DataFrame | None] = []
+        self.tables: list[tuple[str, str]] = []
 
     def _run(self, df: DataFrame) -> DataFrame:
-        return settle(df.sortWithinPartitions(*KEY))
+        """``df``, hash partitioned by key, as a sorted bucketed table."""
+        at = shared_dir(self.spark, "run")
+        name = "line_run_" + at.rpartition("-")[2]
+        self.tables.append((name, at))
+        with sorted_scans(self.spark):
+            df.sortWithinPartitions(*KEY).write.format("parquet").bucketBy(self.partitions, *KEY).sortBy(*KEY).option("path", at).saveAsTable(name)
+        return self.spark.table(name)
 
     @staticmethod
     def _merge(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -77,14 +103,21 @@ class LineRuns:
             run, at = merged, at + 1
 
     def common(self) -> DataFrame:
-        """The keys found in at least ``least`` documents."""
+        """The keys found in at least ``least`` documents, checkpointed."""
         rest = None
         for run in (x for x in self.levels if x is not None):
             rest = run if rest is None else self._merge(rest, run)
-        out = rest.where(F.col("n") >= self.least).select(*KEY)
+        out = self.spark.createDataFrame([], "h1 long, h2 long") if rest is None else rest.where(F.col("n") >= self.least).select(*KEY)
         for run in (x for x in self.settled if x is not None):
             out = out.unionByName(run.select(*KEY))
-        return out
+        with sorted_scans(self.spark):
+            return settle(out)
+
+    def close(self) -> None:
+        for name, at in self.tables:
+            self.spark.sql(f"drop table if exists {name}")
+            remove(self.spark, at)
+        self.tables.clear()
 
 
 def line_counts(docs: DataFrame, text_col: str, batches: int) -> DataFrame:
@@ -115,10 +148,13 @@ def common_lines(docs: DataFrame, least: int = 10, text_col: str = "text", batch
     """Keys (h1, h2) of the lines found in at least ``least`` documents, by way of ``batches`` batches."""
     spark = docs.sparkSession
     counts = settle(line_counts(docs, text_col, batches))
-    runs = LineRuns(least, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    for k in range(batches):
-        runs.add(counts.where(F.col("batch") == k).drop("batch"))
-    return settle(runs.common())
+    runs = LineRuns(spark, least, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    try:
+        for k in range(batches):
+            runs.add(counts.where(F.col("batch") == k).drop("batch"))
+        return runs.common()
+    finally:
+        runs.close()
 
 
 def _drop_lines(text: bytes, common: frozenset[bytes]) -> tuple[bytes, int, int]:
@@ -131,7 +167,8 @@ def line_dedup(docs: DataFrame, least: int = 10, text_col: str = "text", batches
     r"""``docs`` without the lines whose key stands in at least ``least`` documents, plus two count columns.
 
     Each row counts as a document, ids aren't read: repeated rows and null ids are fine.  A null
-    or empty text is one empty line, which stays, as do lines of white space.  Other columns pass
+    or empty text is one empty line, which stays, as do lines of white space; a text is read whole, however
+    long, and a line any number of times in it counts once.  A table without rows gives none.  Other columns pass
     through; a count column whose name is taken replaces the taken one (choose names by ``counts``).
     Up to ``most_broadcast`` common keys (16 bytes each) are broadcast after their number is
     checked; beyond that, lines are joined with the keys and documents put together again.
