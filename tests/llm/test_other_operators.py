@@ -1,6 +1,7 @@
 """WARC, URLs, substring removal, the two models, and the registered queries against their SQL."""
 
 import hashlib
+import math
 import random
 from pathlib import Path
 
@@ -25,9 +26,29 @@ def test_warc_round_trip(spark, tmp_path):
     spark.createDataFrame(pages, "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
     got = {r["page_id"]: tuple(r)[1:] for r in queries.op3_warc(spark, str(tmp_path)).collect()}
     again = {2: 1, 3: 1, 10: 9}
-    for k, _, html in pages:
+    for k, url, html in pages:
         data = (html or "").encode()
-        assert got[k] == (len(data), hashlib.sha256(data).hexdigest(), "revisit" if k in again else "response", again.get(k)), k
+        path = "/" + (url or "").partition("://")[2].partition("/")[2]
+        assert got[k] == (len(data), hashlib.sha256(data).hexdigest(), "revisit" if k in again else "response", again.get(k), path, 1, 1), k
+
+
+def test_equal_payloads_are_found_with_and_without_a_broadcast(spark):
+    pages = spark.createDataFrame([(k, "u", "z" * (50 + k % 90), "d", 1) for k in range(300)] + [(None, None, None, "d", 1)] * 2, "page_id long, url string, html string, digest string, first int")
+    a, b = ({tuple(r) for r in warc.captures_of(pages, most_broadcast=n).collect()} for n in (10_000, 0))
+    assert a == b and sum(r[4] is not None for r in a) == 80
+    assert warc.captures_of(pages.limit(0)).count() == 0
+
+
+def test_no_pages_and_missing_requests(spark, tmp_path):
+    pages = spark.createDataFrame([(1, "http://a.b/c", "x" * 200), (2, "http://a.b/d", "x" * 200)], "page_id long, url string, html string")
+    assert warc.round_trip(spark, pages.limit(0), shared_dir(spark)).count() == 0
+    warc.write_archives(warc.captures_of(pages), f"file://{tmp_path}/w").write.parquet(f"{tmp_path}/index")
+    records = warc.read_records(spark.read.parquet(f"{tmp_path}/index"), with_blocks=False)
+    whole = queries.digests_of(warc.transactions(records))
+    assert {(r["page_id"], r["requested"], r["n_requests"]) for r in whole.collect()} == {(1, "/c", 1), (2, "/d", 1)}
+    assert whole._jdf.queryExecution().executedPlan().toString().partition("Initial Plan")[0].count("SortMergeJoin") == 2
+    short = queries.digests_of(warc.transactions(records.where("type <> 'request' or record_id not like '%:2:%'")))
+    assert {(r["page_id"], r["requested"], r["n_requests"]) for r in short.collect()} == {(1, "/c", 1), (2, None, 0)}
 
 
 def test_transactions_nest_whole_records(spark, tmp_path):
@@ -86,6 +107,19 @@ def test_url_filter(spark, monkeypatch, limit):
     assert none.where("verdict = 'block' and rule is null").count() == len(urls)
 
 
+def test_url_filter_with_many_shapes(spark):
+    """Rules of 300 path lengths, hot urls and very long ones."""
+    rules = [("block" if k % 2 else "allow", f"h{k % 9}.com", "/" + "a" * (k // 3)) for k in range(900)] + [("block", None, "/"), ("block", "com", None)]
+    urls = [f"http://{'x.' * (k % 4)}h{k % 12}.com/{'a' * (k % 350)}{'b' * (k % 2)}" for k in range(500)] + ["http://h1.com/aaa"] * 300 + ["http://h2.com/" + "a" * 100_000] + [None] * 300
+    pages = spark.createDataFrame([(k, u) for k, u in enumerate(urls)], "page_id long, url string")
+    got = url_filter.url_filter(pages, url_filter.rules_frame(spark, rules)).collect()
+    usable = [r for r in rules if r[1] and r[2] is not None]
+    assert len(got) == len(urls)
+    for r in got:
+        best = judge(r["url"], usable)
+        assert (r["host"], r["path"], r["rule"] and len(r["rule"])) == (best[0], best[1], best[2] and len(best[2]))
+
+
 # ---- substrings
 
 
@@ -231,14 +265,70 @@ def test_toxicity(spark, corpus):
     assert toxicity.toxicity_scores(docs.limit(0), model).count() == 0
 
 
-def test_blocks_of_words_give_the_same_scores(spark, corpus, monkeypatch):
+def test_joins_with_the_models_give_the_same_scores(spark, corpus):
+    docs, known, _ = corpus
+    one, many = toxicity.fit(docs, known), toxicity.fit(docs, known, most_entries=0)
+    assert one.shared and many.shared is None
+    scores = [sorted((str(r["doc_id"]), round(r["score"], 6)) for r in toxicity.toxicity_scores(docs, m).collect()) for m in (one, many)]
+    assert scores[0] == scores[1]
+
+
+def test_kneser_ney_probabilities(spark):
+    """Every word's log ratio against dictionaries of counts."""
+    rng = random.Random(6)
+    rows = [(" ".join(rng.choice("abcdefgh") for _ in range(rng.randrange(0, 30))), k % 3 == 0) for k in range(40)]
+    docs = spark.createDataFrame([(t, int(y)) for t, y in rows] + [(None, 1)], "text string, y int").repartition(3)
+    d1, d2 = 2.0, 3.0
+    entries, neutral = toxicity.log_ratios(toxicity.class_counts(docs, d2), d1, d2)
+    model = toxicity.Model(neutral, spark.sparkContext.broadcast(toxicity.packed(entries.toArrow())), None, share=0.25)
+    pairs = {True: {}, False: {}}
+    for text, y in rows:
+        words = text.split()
+        for h, w in zip([None, *words], words, strict=False):
+            pairs[y][h, w] = pairs[y].get((h, w), 0) + 1
+    contexts = {y: {w: sum(1 for k in c if k[1] == w) for w in {k[1] for k in c}} for y, c in pairs.items()}
+    total = {y: sum(c.values()) for y, c in contexts.items()}
+
+    def unigram(y, w):
+        n = contexts[y].get(w, 0)
+        shared = sum(contexts[z].get(w, 0) for z in (True, False)) / sum(total.values())
+        freed = sum(min(x, d1) for x in contexts[y].values()) / total[y]
+        return max(n - d1, 0) / total[y] + freed * shared
+
+    def p(y, h, w):
+        here = {k: n for k, n in pairs[y].items() if k[0] == h}
+        size = sum(here.values())
+        if not size:
+            return unigram(y, w)
+        return max(here.get((h, w), 0) - d2, 0) / size + sum(min(n, d2) for n in here.values()) / size * unigram(y, w)
+
+    for text, _ in rows:
+        words = text.split()
+        want = [math.log(0.75 + 0.25 * p(True, h, w) / p(False, h, w)) for h, w in zip([None, *words], words, strict=False)]
+        data = np.frombuffer(text.encode(), np.uint8)
+        got = model.evidence_of(data, np.array([0, len(data)]))[0]
+        assert abs(got - (sum(want) / len(want) if want else 0)) < 1e-9
+
+
+def test_a_toxic_word_weighs_less_in_a_longer_text(spark, corpus):
+    docs, known, _ = corpus
+    model = toxicity.fit(docs, known)
+    rng = random.Random(3)
+    good = " ".join(prose(rng, 30, 300) for _ in range(1500))
+    texts = [f"vile {good[:n]}" for n in (40, 400, 4_000, 200_000)] + [good]
+    x = [model.evidence_of(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t.encode())]))[0] for t in texts]
+    assert x[0] > 3 * x[1] and x[1] > 3 * x[2] and x[2] > x[3] > x[4]
+    scored = toxicity.toxicity_scores(frame(spark, [*texts, texts[0]]), model).orderBy("doc_id").collect()
+    assert [r["score"] for r in scored] == sorted((r["score"] for r in scored[:5]), reverse=True) + [scored[0]["score"]]
+
+
+def test_bags_are_bounded_in_bytes(spark, corpus):
     docs, known, _ = corpus
-    one = toxicity.fit(docs, known)
-    monkeypatch.setattr(toxicity, "BLOCK", 40)
-    many = toxicity.fit(docs, known)
-    assert len(many.blocks) > 1
-    want = sorted((str(r["doc_id"]), round(r["score"], 9)) for r in toxicity.toxicity_scores(docs, one).collect())
-    assert want == sorted((str(r["doc_id"]), round(r["score"], 9)) for r in toxicity.toxicity_scores(docs, many).collect())
+    table, bias = quality_model.fit(docs, known, most_bytes=20_000)
+    again = quality_model.fit(docs.repartition(7), known, most_bytes=20_000)
+    assert np.array_equal(table, again[0]) and bias == again[1]
+    assert not np.array_equal(table, quality_model.fit(docs, known)[0])
+    assert quality_model.fit(docs, known, most_bytes=1)[0].any()
 
 
 def test_quality(spark, corpus):
