@@ -33,6 +33,8 @@ SHARE = 0.001
 MOST_BROADCAST, MOST_FITTED = 1_000_000, 20_000
 #: Entries of the models that are broadcast (16 bytes each); beyond, texts meet them in joins.
 MOST_ENTRIES = 4_000_000
+#: Words whose pairs a task counts before it sends them.
+COUNTED_TOGETHER = 1 << 21
 FIT_FOLD = 1
 WORD, CONTEXT, PAIR = 0, 1, 2
 
@@ -60,15 +62,23 @@ def class_counts(docs: DataFrame, pair_discount: float = PAIR_DISCOUNT) -> DataF
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, values, offsets in tb.slices(batches, most=8 << 20):
-            words, before, first = words_of(values, offsets)
-            if not len(words):
-                continue
-            y = part.column("y").to_numpy()[tb.row_of(first)] == 1
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+
+        def flush() -> pa.RecordBatch:
+            before, words, y = (np.concatenate(x) for x in zip(*held, strict=True))
+            held.clear()
             _, at, back = np.unique(pair_key(before, words), return_index=True, return_inverse=True)
             toxic = np.bincount(back, y, minlength=len(at)).astype(np.int64)
             n = np.bincount(back, minlength=len(at))
-            yield pa.RecordBatch.from_arrays([pa.array(before[at].view(np.int64)), pa.array(words[at].view(np.int64)), pa.array(toxic), pa.array(n - toxic)], names=["h", "w", "toxic", "other"])
+            return pa.RecordBatch.from_arrays([pa.array(before[at].view(np.int64)), pa.array(words[at].view(np.int64)), pa.array(toxic), pa.array(n - toxic)], names=["h", "w", "toxic", "other"])
+
+        for part, values, offsets in tb.slices(batches):
+            words, before, first = words_of(values, offsets)
+            held.append((before, words, part.column("y").to_numpy()[tb.row_of(first)] == 1))
+            if sum(len(x[0]) for x in held) >= COUNTED_TOGETHER:
+                yield flush()
+        if any(len(x[0]) for x in held):
+            yield flush()
 
     pairs = docs.select("text", "y").mapInArrow(run, "h long, w long, toxic long, other long").groupBy("h", "w").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other"))
     none, t, o = F.lit(None).cast("long"), F.col("toxic").cast("double"), F.col("other").cast("double")
