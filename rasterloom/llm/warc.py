@@ -230,4 +230,6 @@ def round_trip(spark: SparkSession, pages: DataFrame, folder: str) -> DataFrame:
     """Pages written as archives below ``folder`` and read back as transactions (without blocks); see the parts for nulls and repeats."""
     written = write_archives(captures_of(pages), folder)
     written.write.parquet(f"{folder}-index")
-    return transactions(read_records(spark.read.parquet(f"{folder}-index"), with_blocks=False))
+    # the archives are read once, each kind of record from a table of columns
+    read_records(spark.read.parquet(f"{folder}-index"), with_blocks=False).write.parquet(f"{folder}-records")
+    return transactions(spark.read.parquet(f"{folder}-records"))
