@@ -35,6 +35,7 @@ class Settings:
     threshold: float = 0.3
     tta: str = "identity"
     device: str = "cpu"
+    gpu_id: int = 0
 
     def __post_init__(self) -> None:
         if self.patch_size < 2 or self.patch_size % 2:
@@ -71,6 +72,7 @@ def from_arguments(a: dict) -> Settings:
         threshold=float(a.get("prediction_thr") if a.get("prediction_thr") is not None else 0.3),
         tta=augmentation(a.get("transformers", False), a.get("transformer_flip", False), a.get("transformer_rotate", False)),
         device=str(a.get("device") or "cpu"),
+        gpu_id=int(a.get("gpu_id") or 0),
     )
 
 

@@ -77,13 +77,6 @@ def to_wkt(rings: Column) -> Column:
     return F.concat(F.lit("POLYGON ("), F.array_join(F.transform(rings, ring), ", "), F.lit(")"))
 
 
-def clip_box(b: Column, width: Column, height: Column) -> Column:
-    """Area of a box (bounds struct) inside the image 0..width, 0..height."""
-    w = F.least(b["maxx"], width) - F.greatest(b["minx"], F.lit(0.0))
-    h = F.least(b["maxy"], height) - F.greatest(b["miny"], F.lit(0.0))
-    return F.greatest(w, F.lit(0.0)) * F.greatest(h, F.lit(0.0))
-
-
 def _half_plane(ring: Column, inside, cross) -> Column:
     """One step of polygon clipping: the part of a closed ring for which ``inside`` holds."""
     return let(ring, lambda r: _half_plane_of(r, inside, cross))

@@ -6,13 +6,15 @@ formulas also come as column expressions, so that small jobs stay inside Spark S
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
-from dataclasses import dataclass, field
+import os
+from collections.abc import Sequence
+from dataclasses import dataclass, field, replace
 from typing import Protocol
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark import SparkFiles
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rasterloom.functions.geometry import let
@@ -107,25 +109,67 @@ class Constant:
 
 
 @dataclass
-class OnnxModel:
-    """A network in an ONNX file, opened once per worker."""
+class FileModel:
+    """A network in a file, opened once per worker.
+
+    ``shipped`` sends the file to the executors with the job (``SparkContext.addFile``), so it only has to
+    lie on the driver's disk.
+    """
 
     path: str
     classes: int
+    device: str = "cpu"
+    gpu_id: int = 0
+    sent: bool = False
     _session: object = field(default=None, repr=False, compare=False)
 
     def __getstate__(self):
-        return {"path": self.path, "classes": self.classes, "_session": None}
+        return {k: v for k, v in vars(self).items() if k != "_session"} | {"_session": None}
+
+    def shipped(self, spark: SparkSession) -> FileModel:
+        spark.sparkContext.addFile(self.path)
+        return replace(self, sent=True, _session=None)
+
+    def local_path(self) -> str:
+        return SparkFiles.get(os.path.basename(self.path)) if self.sent else self.path
+
+
+@dataclass
+class TorchModel(FileModel):
+    """A TorchScript module; torch is imported by the workers that run it."""
+
+    def predict(self, patches: np.ndarray) -> np.ndarray:
+        import torch
+
+        device = chosen_device(self.device, self.gpu_id)
+        if self._session is None:
+            self._session = torch.jit.load(self.local_path(), map_location=device).eval()
+        with torch.no_grad():
+            out = self._session(torch.from_numpy(np.ascontiguousarray(patches, np.float32)).to(device))
+        return np.asarray(out.cpu().numpy(), dtype=float)
+
+
+@dataclass
+class OnnxModel(FileModel):
+    """A network in an ONNX file."""
 
     def predict(self, patches: np.ndarray) -> np.ndarray:
         if self._session is None:
             import onnxruntime
 
-            self._session = onnxruntime.InferenceSession(self.path, providers=["CPUExecutionProvider"])
+            device = chosen_device(self.device, self.gpu_id)
+            gpu = [("CUDAExecutionProvider", {"device_id": int(device[5:])})] if device != "cpu" and "CUDAExecutionProvider" in onnxruntime.get_available_providers() else []
+            self._session = onnxruntime.InferenceSession(self.local_path(), providers=[*gpu, "CPUExecutionProvider"])
         name = self._session.get_inputs()[0].name
         return np.asarray(self._session.run(None, {name: patches.astype(np.float32)})[0], dtype=float)
 
 
+def file_model(path: str, classes: int, device: str = "cpu", gpu_id: int = 0) -> FileModel:
+    """TorchScript for ``.pt``, ``.pth`` and ``.torchscript`` files, else ONNX."""
+    kind = TorchModel if path.lower().endswith((".pt", ".pth", ".torchscript")) else OnnxModel
+    return kind(path, classes, device, gpu_id)
+
+
 #: Elements of the square's symmetry group that an augmentation averages over: (quarter turns, mirror first).
 VARIANTS = {"identity": [(0, False)], "d4": [(k, m) for m in (False, True) for k in range(4)], "rotate": [(0, False), (1, False)], "flip": [(0, False), (0, True), (2, False), (2, True)]}
 
@@ -188,19 +232,35 @@ def predict_patches(patches: DataFrame, model: Model, s: int, count: int) -> Dat
     return patches.groupBy("raster_id", "patch_row", "patch_col").applyInArrow(run, schema)
 
 
+def gpu_stats(devices: DataFrame) -> DataFrame:
+    """(gpu, memory_used, memory_total, load) of (gpu, memory_free, memory_total, load): used is what isn't free (M5)."""
+    return devices.select("gpu", (F.col("memory_total") - F.col("memory_free")).alias("memory_used"), "memory_total", "load")
+
+
 def pick_device(stats: DataFrame, wanted: str = "gpu", limit: float = 70.0) -> DataFrame:
     """The first device below ``limit`` percent of memory and load, of (gpu, memory_used, memory_total, load)."""
     free = (100 * F.col("memory_used") / F.col("memory_total") < limit) & (F.col("load") < limit)
     return stats.agg(F.min(F.when(free, F.col("gpu"))).alias("gpu")).select(F.coalesce(F.concat(F.lit("cuda:"), F.col("gpu").cast("string")), F.lit(wanted)).alias("device"))
 
 
-def batches_of(pieces: Iterator[np.ndarray], n: int) -> Iterator[np.ndarray]:
-    """Patches stacked up to ``n`` at a time."""
-    held: list[np.ndarray] = []
-    for piece in pieces:
-        held.append(piece)
-        if len(held) == n:
-            yield np.stack(held)
-            held = []
-    if held:
-        yield np.stack(held)
+def visible_devices() -> list[tuple[int, float, float, float]]:
+    """(gpu, free MB, all MB, load) of this machine's devices as its driver tool lists them; none without the tool."""
+    import subprocess
+
+    try:
+        told = subprocess.run(["nvidia-smi", "--query-gpu=index,memory.free,memory.total,utilization.gpu", "--format=csv,noheader,nounits"], capture_output=True, text=True, timeout=30, check=True)
+    except (OSError, subprocess.SubprocessError):
+        return []
+    return [(int(r[0]), *map(float, r[1:])) for r in (line.split(", ") for line in told.stdout.splitlines() if line.strip())]
+
+
+def chosen_device(wanted: str, gpu_id: int = 0, devices: Sequence[tuple[int, float, float, float]] | None = None, limit: float = 70.0) -> str:
+    """The device that a worker runs its model on: ``cpu``, or ``cuda:k`` with the first device below ``limit`` percent.
+
+    ``gpu_id`` is tried first; without a device that is free enough the model runs on the CPU.
+    """
+    if not wanted.startswith(("gpu", "cuda")):
+        return "cpu"
+    found = visible_devices() if devices is None else devices
+    free = [d[0] for d in found if 100 * (d[2] - d[1]) / d[2] < limit and d[3] < limit]
+    return f"cuda:{gpu_id if gpu_id in free else free[0]}" if free else "cpu"

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rasterloom.functions.affine import affine, move_rings
-from rasterloom.functions.geometry import area, area_inside, bounds
+from rasterloom.functions.geometry import area, area_inside, bounds, let
 
 
 def _buckets(low: Column, high: Column, size: float) -> Column:
@@ -56,6 +56,14 @@ def to_pixels(polygons: DataFrame, transform, width: int, height: int, image: st
 
 
 def overlap_ratio(rings: Column, width: Column, height: Column) -> Column:
-    """The share of a polygon's area inside the image; null for an area of 0."""
-    whole = area(rings)
-    return F.when(whole > 0, area_inside(rings, width, height) / whole)
+    """The share of a polygon's area inside the image; null for an area of 0.
+
+    Only polygons whose box crosses the image's border are clipped.
+    """
+
+    def share(whole: Column, b: Column) -> Column:
+        inside = (b["minx"] >= 0) & (b["miny"] >= 0) & (b["maxx"] <= width) & (b["maxy"] <= height)
+        outside = (b["maxx"] <= 0) | (b["maxy"] <= 0) | (b["minx"] >= width) | (b["miny"] >= height)
+        return F.when(inside, F.lit(1.0)).when(outside, F.lit(0.0)).otherwise(area_inside(rings, width, height) / whole)
+
+    return let(area(rings), lambda whole: F.when(whole > 0, let(bounds(rings), lambda b: share(whole, b))))

@@ -16,7 +16,9 @@ from pyspark.sql import functions as F
 from rasterloom.functions.affine import affine, move_rings
 from rasterloom.functions.geometry import RINGS
 from rasterloom.operators.nodata import MASKED
+from rasterloom.operators.number import numbered_rows
 from rasterloom.operators.stars import components
+from rasterloom.shared import settle
 
 #: Rows of a raster whose runs one task joins up; components across strips are joined as a graph.
 STRIP = 4096
@@ -252,5 +254,13 @@ def simplify(polygons: DataFrame, tolerance: float = 1.0) -> DataFrame:
 
 
 def numbered(polygons: DataFrame) -> DataFrame:
-    """feature_id in the order of (smallest run id): top row first, then from the left, per raster."""
-    return polygons.withColumn("feature_id", F.row_number().over(Window.partitionBy("raster_id").orderBy("component")).cast("long"))
+    """feature_id in the order of (smallest run id): top row first, then from the left, per raster.
+
+    Rasters and components are numbered in one order, less what comes before a raster's first; rings aren't sorted.
+    """
+    polygons = settle(polygons)  # traced once
+    order = F.struct("raster_id", "component")
+    narrow = numbered_rows(polygons.select("raster_id", "component", order.alias("_order")), "_order", "_at").drop("_order")
+    first = narrow.groupBy("raster_id").agg(F.min("_at").alias("_first"))
+    ids = narrow.join(first, "raster_id").select("raster_id", "component", (F.col("_at") - F.col("_first") + 1).alias("feature_id"))
+    return polygons.join(ids, ["raster_id", "component"])

@@ -52,6 +52,25 @@ SEGMENT = (
     + """, q as (select c64.y, c64.x, b0 <> 0 and b1 <> 0 as ok, coalesce(sw, 0.0) as sw, case when sw <> 0 then s0 / sw else 0.0 end as p0, case when sw <> 0 then s1 / sw else 0.0 end as p1, case when sw <> 0 then s2 / sw else 0.0 end as p2 from c64 left join bl using (y, x)),
 c as (select *, case when p0 >= p1 and p0 >= p2 then 0 when p1 >= p2 then 1 else 2 end::bigint as cls from q)"""
 )
+_B4 = range(4)
+_W4 = ((1.0, -0.5, 0.4, 0.3), (-0.7, 0.9, -0.2, 0.6), (0.2, 0.3, 0.8, -0.4))
+#: The raster 16 wide with all its four bands, two cells wide.
+NARROW = (
+    R16
+    + ", c16 as (select y, x, " + ", ".join(f"max(v) filter (where band = {k + 1}) as b{k}" for k in _B4) + " from r16 group by y, x)"
+    + """, n as (select ceil((max(y) + 1) / 8.0)::bigint as n1, 2 as n2 from c16),
+pad as (select yy.y, xx.x, """ + ", ".join(f"coalesce(b{k}, 0.0::double) as b{k}" for k in _B4) + """ from (select unnest(range(0, n1 * 8)) as y from n) yy cross join (select unnest(range(0, 16)) as x) xx left join c16 on c16.y = yy.y and c16.x = xx.x),
+pp as (select y // 8 - di as i, 0 as j, y, x, y - (y // 8 - di) * 8 as py, x as px, b0, b1, b2, b3, n1, n2 from pad, n, (select unnest([0, 1]) as di) a where y // 8 - di between 0 and n1 - 2),
+m as (select *, """ + ", ".join(f"b{k} - avg(b{k}) over (partition by i, j) as d{k}" for k in _B4) + """ from pp),
+z as (select *, """ + ", ".join(" + ".join(f"({w})::double * d{k}" for k, w in enumerate(ws)) + f" + ({b})::double as z{c}" for c, (ws, b) in enumerate(zip(_W4, (0.1, 0.0, -0.1), strict=True))) + """ from m),
+e as (select *, exp(z0 - greatest(z0, z1, z2)) as e0, exp(z1 - greatest(z0, z1, z2)) as e1, exp(z2 - greatest(z0, z1, z2)) as e2 from z),
+pr as (select *, e0 / (e0 + e1 + e2) as p0, e1 / (e0 + e1 + e2) as p1, e2 / (e0 + e1 + e2) as p2, """
+    + WEIGHT
+    + """ as w from e),
+bl as (select y, x, sum(p0 * w) as s0, sum(p1 * w) as s1, sum(p2 * w) as s2, sum(w) as sw from pr group by y, x),
+q as (select c16.y, c16.x, coalesce(sw, 0.0) as sw, case when sw <> 0 then s0 / sw else 0.0 end as p0, case when sw <> 0 then s1 / sw else 0.0 end as p1, case when sw <> 0 then s2 / sw else 0.0 end as p2 from c16 left join bl using (y, x)),
+c as (select *, case when p0 >= p1 and p0 >= p2 then 0 when p1 >= p2 then 1 else 2 end::bigint as cls from q)"""
+)
 LI = "li as (select l_suppkey as y, l_partkey % 64 as x, (sum(l_linenumber) % 5)::bigint as cls from lineitem group by 1, 2)"
 RUNS = LI + ", g as (select *, x - row_number() over (partition by y, cls order by x) as grp from li where cls > 0), runs as (select y * 4294967296 + min(x) as run_id, y, cls, min(x) as x0, max(x) as x1 from g group by y, cls, grp)"
 COMPONENTS = (
@@ -67,6 +86,20 @@ RECT = "r as (select o_orderkey as fid, o_orderstatus as status, o_totalprice as
 CATS = RECT + ", cats as (select status as name, row_number() over (order by min(fid)) as cid from r group by status)"
 RATIO = "(greatest(least(x1, 1000.0) - greatest(x0, 0.0), 0.0) * greatest(least(y1, 800.0) - greatest(y0, 0.0), 0.0) / ((x1 - x0) * (y1 - y0)))"
 INT = "{0}::bigint::varchar"
+#: Boxes of longitude and latitude from orders, and the UTM series for zone 16 north.
+LONLAT = "ll as (select o_orderkey as fid, -90.0::double + (o_orderkey % 500) / 100.0::double as lon0, 20.0::double + (o_custkey % 400) / 10.0::double as lat0, -90.0::double + (o_orderkey % 500) / 100.0::double + 0.5 as lon1, 20.0::double + (o_custkey % 400) / 10.0::double + 0.25 as lat1 from orders)"
+_THIRD = 0.0016792203863836474  # third flattening of WGS 84
+RECTIFYING = f"({6378137.0 / (1 + _THIRD) * (1 + _THIRD**2 / 4 + _THIRD**4 / 64)!r}::double)"
+_SERIES = (_THIRD / 2 - 2 / 3 * _THIRD**2 + 5 / 16 * _THIRD**3, 13 / 48 * _THIRD**2 - 3 / 5 * _THIRD**3, 61 / 240 * _THIRD**3)
+UTM = (
+    f"s0 as (select fid, radians(lat0) as phi, radians(lon0) - radians(-87.0::double) as lam, {2 * _THIRD**0.5 / (1 + _THIRD)!r}::double as ecc from ll), "
+    "s1 as (select fid, lam, (exp(g) - exp(-g)) / 2 as t from (select *, atanh(sin(phi)) - ecc * atanh(ecc * sin(phi)) as g from s0)), "
+    "sx as (select fid, atan2(t, cos(lam)) as xi, atanh(sin(lam) / sqrt(1 + t * t)) as eta from s1), s2 as (select fid, eta"
+    + "".join(f" + {a!r}::double * cos({2 * j} * xi) * (exp({2 * j} * eta) - exp(-{2 * j} * eta)) / 2" for j, a in enumerate(_SERIES, 1))
+    + " as east, xi"
+    + "".join(f" + {a!r}::double * sin({2 * j} * xi) * (exp({2 * j} * eta) + exp(-{2 * j} * eta)) / 2" for j, a in enumerate(_SERIES, 1))
+    + " as north from sx)"
+)
 
 
 def _join(*names: str) -> str:
@@ -75,8 +108,7 @@ def _join(*names: str) -> str:
 
 def _tta(variants: str) -> str:
     places = "case t when 0 then py when 1 then 15 - mx when 2 then 15 - py else mx end as ty, case t when 0 then mx when 1 then py when 2 then 15 - mx else 15 - py end as tx"
-    patches = PATCHES.replace("from c64),\npad", "from c64 where y < 32),\npad")
-    return f"with {patches}, v as (select unnest({variants}) as v), a as (select i, j, py, px, b0, v // 10 as m, v % 10 as t, case when v >= 10 then 15 - px else px end as mx from pp, v), b as (select *, {places} from a) select i as patch_row, j as patch_col, py, px, round(avg(b0 * (ty * 16 + tx + 1)), 6) + 0.0 as p from b group by i, j, py, px"
+    return f"with {PATCHES}, v as (select unnest({variants}) as v), a as (select i, j, py, px, b0, v // 10 as m, v % 10 as t, case when v >= 10 then 15 - px else px end as mx from pp, v), b as (select *, {places} from a) select i as patch_row, j as patch_col, py, px, round(avg(b0 * (ty * 16 + tx + 1)), 6) + 0.0 as p from b group by i, j, py, px"
 
 
 NAMES4 = "['red', 'green', 'blue', 'nir']"
@@ -85,7 +117,7 @@ ASSETS = f"a as (select n_name as item, k, {NAMES4}[(n_nationkey + k) % 4 + 1] a
 ORACLE_SQL: dict[str, str] = {
     "segment_mask": f"with {SEGMENT} select y, x, case when ok then cls else 255::bigint end as cls, round(sw, 6) as sw, round(p0, 6) as p0, round(p1, 6) as p1, round(p2, 6) as p2 from c",
     "segment_tiles": f"with {SEGMENT} select y, x, case when ok then cls else 255::bigint end as cls from c",
-    "segment_narrow": f"with {SEGMENT.replace('8 as n2', '2 as n2').replace('range(0, 64)', 'range(0, 16)')} select x, cls, count(*) as n, round(sum(sw), 6) as sw from c where x < 16 group by x, cls",
+    "segment_narrow": f"with {NARROW} select x, cls, count(*) as n, round(sum(sw), 6) as sw from c group by x, cls",
     "segment_binary": f"""with {PATCHES}{MEANS}, pr as (select y, x, 1 / (1 + exp(-(1.0::double * (b0 - m0) + -0.5::double * (b1 - m1) + 0.1::double))) as p, {WEIGHT} as w from m), bl as (select y, x, case when sum(w) <> 0 then sum(p * w) / sum(w) else 0.0 end as p from pr group by y, x)
         select y, (p > 0.5)::bigint as cls, count(*) as n, round(sum(p), 6) as p from bl join c64 using (y, x) group by y, (p > 0.5)::bigint""",
     "scan_tiles": f"with {R16} select band, y // 8 as cell_row, x // 8 as cell_col, count(*) as n, round(sum(v), 6) + 0.0 as total, round(min(v), 6) + 0.0 as low, round(max(v), 6) + 0.0 as high from r16 group by 1, 2, 3",
@@ -107,6 +139,7 @@ ORACLE_SQL: dict[str, str] = {
     "softmax": f"with {R16}, e as (select *, exp(v) as e, sum(exp(v)) over (partition by y, x) as t from r16) select y, x, " + ", ".join(f"round(max(e / t) filter (where band = {k + 1}), 6) as p{k}" for k in range(4)) + " from e group by y, x",
     "sigmoid": f"with {R16} select y, x, band, round(1 / (1 + exp(-v)), 6) as p from r16",
     "device_select": "select coalesce('cuda:' || min(s_suppkey) filter (where 100 * abs(s_acctbal) / 10000.0 < 70 and (s_suppkey * 37 + 90) % 100 < 70), 'gpu') as device from supplier",
+    "gpu_stats": "select s_suppkey as gpu, round(10000.0::double - abs(s_acctbal), 6) as memory_used, 10000.0::double as memory_total from supplier",
     "tta_d4": _tta("[0, 1, 2, 3, 10, 11, 12, 13]"),
     "tta_rotate": _tta("[0, 1]"),
     "tta_flip": _tta("[0, 10, 2, 12]"),
@@ -126,6 +159,9 @@ ORACLE_SQL: dict[str, str] = {
     "affine_precision": f"with {RECT} select fid as feature_id, round_even(0.5 * x0 + 10, 0) + 0.0 as ax, round_even(-0.5 * y0 + 20, 0) + 0.0 as ay, round_even(0.5 * x1 + 10, 0) + 0.0 as cx, round_even(-0.5 * y1 + 20, 0) + 0.0 as cy from r",
     "geo_to_px": f"with {RECT} select fid as feature_id, 'scene.tif' as image_fname, x0 as minx, y0 as miny, x1 as maxx, y1 as maxy from r where x0 <= 1000 and x1 >= 0 and y0 <= 800 and y1 >= 0",
     "wkt_parse": "select o_orderkey, o_orderkey % 5 <> 0 and o_orderkey % 7 = 0 as bad, case when o_orderkey % 5 = 0 then 1 when o_orderkey % 7 = 0 then 0 else 4 end::bigint as vertices, case when o_orderkey % 5 = 0 or o_orderkey % 7 = 0 then 0.0::double else 20.0::double end as area from orders",
+    "web_mercator_bounds": f"with {LONLAT} select fid as feature_id, round(6378137.0::double * radians(lon0), 3) + 0.0 as minx, round(6378137.0::double * ln(tan(pi() / 4 + radians(lat0) / 2)), 3) + 0.0 as miny, round(6378137.0::double * radians(lon1), 3) + 0.0 as maxx, round(6378137.0::double * ln(tan(pi() / 4 + radians(lat1) / 2)), 3) + 0.0 as maxy from ll",
+    "utm_forward": f"with {LONLAT}, {UTM} select fid as feature_id, round(500000 + 0.9996::double * {RECTIFYING} * east, 3) + 0.0 as x, round(0.9996::double * {RECTIFYING} * north, 3) + 0.0 as y from s2",
+    "utm_round_trip": f"with {LONLAT} select fid as feature_id, round(lon0, 8) + 0.0 as lon, round(lat0, 8) + 0.0 as lat from ll",
     "polygon_area": f"with {RECT} select fid as feature_id, round((x1 - x0) * (y1 - y0) * 0.75, 6) as area from r",
     "polygon_bounds": f"with {RECT} select fid as feature_id, x0 as minx, y0 as miny, x1 as maxx, y1 as maxy from r",
     "overlap_ratio": f"with {RECT} select fid as feature_id, round({RATIO}, 6) + 0.0 as ratio from r",
@@ -147,7 +183,7 @@ ORACLE_SQL: dict[str, str] = {
     "coco_images": "select n_nationkey::bigint as id, n_name || '.tif' as file_name, n_nationkey::bigint * 10 + 100 as width, n_regionkey::bigint + 50 as height, 1::bigint as license from nation",
     "coco_licenses": "select r_name as name, 'http://licenses.example/' || r_regionkey as url, row_number() over (order by r_regionkey) as id from region",
     "coco_document": f"with {CATS} select count(*) as n_annotations, round(sum((x1 - x0) * (y1 - y0)), 6) as area, (select string_agg(name, ',' order by cid) from cats) as names, (select count(*) from nation) as n_images from r",
-    "label_union": f"with {RECT}, u as (select status, null as price from r union all select null, price from r where fid % 2 = 0) select status, price is null as no_price, count(*) as n from u group by 1, 2",
+    "label_union": f"with {RECT}, u as (select status, null as price from r union all select null, price from r) select status, price is null as no_price, count(*) as n from u group by 1, 2",
     "geojson_feature": f"""with {RECT}, p as (select fid, unnest([[x0, y0], [x1, y0], [x1, y1], [x0, y1], [x0, y0]]) as p, unnest(range(0, 5)) as k from r)
         select '{{"type":"Feature","properties":{{"value":' || (fid % 5)::double || '}},"geometry":{{"type":"Polygon","coordinates":[[' || string_agg('[' || p[1] || ',' || p[2] || ']', ',' order by k) || ']]}}}}' as feature from p group by fid""",
     "geojson_scan": f"with {RECT} select fid::double as value, (x1 - x0) * (y1 - y0) as area, x0 as minx, y1 as maxy from r",

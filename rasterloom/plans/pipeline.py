@@ -17,7 +17,7 @@ from rasterloom.functions.affine import affine, move_rings
 from rasterloom.operators import annotate, nodata, vectorize
 from rasterloom.operators.bands import requested_bands
 from rasterloom.operators.crop import crop, parse_bbox, window_of
-from rasterloom.operators.infer import Augmented, Constant, Model, OnnxModel
+from rasterloom.operators.infer import Augmented, Constant, Model, file_model
 from rasterloom.plans.segment import cells_of, mask_invalid, segment_tiles, tile_pixels
 from rasterloom.sources import geojson, stac, zarrcube
 from rasterloom.sources.files import model_file, work_folder
@@ -102,7 +102,8 @@ class SceneSegmenter:
         model = model if model is not None else self.settings.model
         if model is None:
             raise ValueError("no model was given")
-        self.model: Model = OnnxModel(model_file(model, self.folder), self.settings.classes) if isinstance(model, str) else model
+        o = self.settings
+        self.model: Model = file_model(model_file(model, self.folder), o.classes, o.device, o.gpu_id).shipped(spark) if isinstance(model, str) else model
         if self.settings.tta != "identity":
             self.model = Augmented(self.model, self.settings.tta)
 

@@ -4,16 +4,19 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rasterloom import views as V
 from rasterloom.functions import geometry as G
 from rasterloom.functions import paths
 from rasterloom.functions.affine import affine, forward, inverse, move_rings
+from rasterloom.functions.crs import reproject, reproject_bounds
 from rasterloom.operators import annotate, bands, blend, crop, grid, infer, nodata, overlap, vectorize, window
+from rasterloom.operators.number import numbered_rows
 from rasterloom.plans import segment
-from rasterloom.sources import geojson, manifest, profile, stac, zarrcube
+from rasterloom.shared import shared_dir
+from rasterloom.sources import geojson, geotiff, manifest, profile, stac, zarrcube
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -82,7 +85,13 @@ def q_segment_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def q_scan_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    px = grid.tile_grid(V.bands16(spark, sf_dir), V.S)
+    """The raster written as GeoTIFF scenes of 1024 rows, a file per band, and read back by the data source."""
+    folder = shared_dir(spark, "scenes")
+    geotiff.write_scenes(V.bands16(spark, sf_dir), folder, 1024, 16).write.format("noop").mode("overwrite").save()
+    tiles = geotiff.read_geotiff(spark, f"{folder}/*.tif")
+    long = geotiff.pixels_of(tiles, (16, 16))
+    name = lambda k: F.regexp_extract("raster_id", "^([0-9]+)-b([0-9]+)\\.tif$", k).cast("int")
+    px = grid.tile_grid(long.select(name(2).alias("band"), (name(1) * 1024 + F.col("y")).alias("y"), "x", "v"), V.S)
     return tidy(px.groupBy("band", "cell_row", "cell_col").agg(F.count(F.lit(1)).alias("n"), F.sum("v").alias("total"), F.min("v").alias("low"), F.max("v").alias("high")))
 
 
@@ -196,9 +205,16 @@ def q_device_select(spark: SparkSession, sf_dir: str) -> DataFrame:
     return infer.pick_device(stats)
 
 
+@query
+def q_gpu_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = V.table(spark, sf_dir, "supplier")
+    devices = s.select(F.col("s_suppkey").alias("gpu"), F.abs("s_acctbal").alias("memory_free"), F.lit(10000.0).alias("memory_total"), F.lit(0.0).alias("load"))
+    return tidy(infer.gpu_stats(devices).drop("load"))
+
+
 def _tta(kind: str) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        """A score that depends on the place in the varied patch, averaged over the variants."""
+        """The scores of a model that depends on the place in the varied patch, averaged over the variants, on the whole raster."""
         patches = grid.overlap_patches(grid.pad_grid(V.cube64(spark, sf_dir), V.S, 2), V.S)
         score = F.col("bands")[0] * (F.col("ty") * 16 + F.col("tx") + 1)
         merged = infer.merge_variants(infer.augment(patches, V.S, kind).withColumn("p", score))
@@ -339,6 +355,38 @@ def q_wkt_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tidy(o.select("o_orderkey", rings.isNull().alias("bad"), F.coalesce(F.size(F.get(rings, F.lit(0))), F.lit(0)).alias("vertices"), F.coalesce(G.area(rings), F.lit(0.0)).alias("area")))
 
 
+def _degrees(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, tuple[Column, Column, Column, Column]]:
+    """Boxes of longitude and latitude from orders."""
+    o = V.table(spark, sf_dir, "orders")
+    lon, lat = -90.0 + (F.col("o_orderkey") % 500) / 100.0, 20.0 + (F.col("o_custkey") % 400) / 10.0
+    rows = o.select(F.col("o_orderkey").alias("feature_id"), lon.alias("lon"), lat.alias("lat"))
+    return rows, (F.col("lon"), F.col("lat"), F.col("lon") + 0.5, F.col("lat") + 0.25)
+
+
+@query
+def q_web_mercator_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, box = _degrees(spark, sf_dir)
+    out = reproject_bounds(box, "EPSG:4326", 3857)
+    return tidy(rows.select("feature_id", *(c.alias(n) for c, n in zip(out, ("minx", "miny", "maxx", "maxy"), strict=True))), 3)
+
+
+@query
+def q_utm_forward(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, box = _degrees(spark, sf_dir)
+    x, y = reproject(box[0], box[1], 4326, 32616)
+    return tidy(rows.select("feature_id", x.alias("x"), y.alias("y")), 3)
+
+
+@query
+def q_utm_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """To UTM and back again."""
+    rows, box = _degrees(spark, sf_dir)
+    x, y = reproject(box[0], box[1], 4326, 32616)
+    there = rows.select("feature_id", x.alias("x"), y.alias("y"))
+    lon, lat = reproject(F.col("x"), F.col("y"), 32616, 4326)
+    return tidy(there.select("feature_id", lon.alias("lon"), lat.alias("lat")), 8)
+
+
 @query
 def q_polygon_area(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rectangles with a hole of half their size in the middle."""
@@ -429,8 +477,9 @@ def q_preset_exclude(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def q_preset_other_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = V.table(spark, sf_dir, "nation")
-    return tidy(n.agg((F.max("n_nationkey") + 1).alias("other_id")))
+    """The id that a preset without ``other`` gives it; a preset is a list of the caller's, here the nations."""
+    preset = [{"id": r["n_nationkey"], "name": r["n_name"]} for r in V.table(spark, sf_dir, "nation").collect()]
+    return spark.createDataFrame([(annotate.preset_ids(preset)["other"],)], "other_id long")
 
 
 @query
@@ -551,8 +600,11 @@ def q_stac_band_select(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q_manifest_sorted(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = V.table(spark, sf_dir, "part")
     lines = p.select(F.col("p_partkey").alias("line_no"), F.concat_ws(",", F.concat(F.lit("img"), F.col("p_partkey"), F.lit(".tif")), F.when(F.col("p_size") % 2 == 0, F.lit("")).otherwise(F.col("p_name")), F.col("p_type")).alias("line"))
-    rows = manifest.parse_manifest(lines, "/data")
-    return tidy(rows.withColumn("place", F.row_number().over(Window.orderBy("split", "line_no"))).select("tif", "gpkg", "split", "aoi_id", "place"))
+    folder = shared_dir(spark, "manifest")
+    lines.orderBy("line_no").coalesce(1).select("line").write.text(f"{folder}/list.csv")  # a manifest is one file
+    rows = manifest.read_manifest(spark, f"{folder}/list.csv").withColumn("at", F.monotonically_increasing_id())
+    below = lambda c: F.replace(F.col(c), F.lit(folder + "/"), F.lit("/data/")).alias(c)
+    return tidy(numbered_rows(rows, "at", "place").select(below("tif"), below("gpkg"), "split", "aoi_id", "place"))
 
 
 @query

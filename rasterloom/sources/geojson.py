@@ -9,7 +9,8 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rasterloom.functions.geometry import RINGS
+from rasterloom.functions.geometry import RINGS, to_wkt
+from rasterloom.operators.annotate import geojson_features
 
 log = logging.getLogger(__name__)
 _POINTS = "array<array<array<double>>>"
@@ -60,6 +61,18 @@ def label_union(tables: Sequence[DataFrame]) -> DataFrame:
     return out
 
 
+def write_pixel_frame(frame: DataFrame, path: str, crs: str | None = None) -> None:
+    """A pixel-coordinate label table: GeoJSON for ``*json``, else CSV with the rings as WKT (K6).
+
+    All columns but ``rings`` are properties.  The CSV is a folder of part files, each with a header.
+    """
+    names = [c for c in frame.columns if c != "rings"]
+    if path.endswith("json"):
+        write_geojson(geojson_features(frame, names), path, crs)
+    else:
+        frame.select(*names, to_wkt(F.col("rings")).alias("geometry")).write.csv(path, header=True, mode="overwrite")
+
+
 def write_geojson(features: DataFrame, path: str, crs: str | None = None) -> None:
     """A FeatureCollection in one file on the driver, feature by feature as they come."""
     head = '{"type": "FeatureCollection", ' + (f'"crs": {{"type": "name", "properties": {{"name": "{crs}"}}}}, ' if crs else "") + '"features": ['

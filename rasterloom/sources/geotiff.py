@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import glob
 import os
 import shutil
 from collections.abc import Iterator
@@ -26,17 +27,27 @@ class Blocks(InputPartition):
 
     first: int
     last: int
+    file: int = 0
 
 
 class GeoTiffReader(DataSourceReader):
     """One row per requested band and block; bands and blocks that nobody asked for aren't read.
 
+    A path with ``*`` names many files, told apart by ``raster_id``.
+
     Options: ``bands`` ("3,1,3"), ``bbox`` (map units), ``rows`` (block rows per task).  Comparisons
     with cell_row and cell_col are taken over when Spark hands filters to Python sources.
     """
 
     def __init__(self, options: dict):
         path = options.get("path")
+        if "*" in path:  # many files: one reader for each
+            found = sorted(glob.glob(path.removeprefix("file://")))
+            if not found:
+                raise ValueError(f"no file matches {path}")
+            self.files = [GeoTiffReader(options | {"path": p}) for p in found]
+            return
+        self.files = [self]
         self.tiff: Tiff = open_tiff(path)
         self.bands = requested_bands(options.get("bands")) or list(range(1, self.tiff.count + 1))
         if bad := [b for b in self.bands if not 1 <= b <= self.tiff.count]:
@@ -54,6 +65,12 @@ class GeoTiffReader(DataSourceReader):
             self.high = [max(w.row + w.height - 1, 0) // bh, max(w.col + w.width - 1, 0) // bw]
 
     def pushFilters(self, filters):
+        filters = list(filters)
+        for f in self.files:
+            f._narrow(filters)
+        yield from filters  # rows are few enough to be tested again
+
+    def _narrow(self, filters) -> None:
         for f in filters:
             axis = {("cell_row",): 0, ("cell_col",): 1}.get(getattr(f, "attribute", None))
             if axis is not None and isinstance(f, EqualTo | GreaterThan | GreaterThanOrEqual | LessThan | LessThanOrEqual):
@@ -61,12 +78,15 @@ class GeoTiffReader(DataSourceReader):
                     self.low[axis] = max(self.low[axis], int(f.value) + isinstance(f, GreaterThan))
                 if isinstance(f, EqualTo | LessThanOrEqual | LessThan):
                     self.high[axis] = min(self.high[axis], int(f.value) - isinstance(f, LessThan))
-            yield f  # rows are few enough to be tested again
 
     def partitions(self):
-        return [Blocks(r, min(r + self.step - 1, self.high[0])) for r in range(self.low[0], self.high[0] + 1, self.step)] or [Blocks(0, -1)]
+        found = [Blocks(r, min(r + f.step - 1, f.high[0]), k) for k, f in enumerate(self.files) for r in range(f.low[0], f.high[0] + 1, f.step)]
+        return found or [Blocks(0, -1)]
 
     def read(self, partition: Blocks) -> Iterator[tuple]:
+        return self.files[partition.file]._read(partition)
+
+    def _read(self, partition: Blocks) -> Iterator[tuple]:
         t, read = self.tiff, opener(self.tiff.path)
         name = os.path.basename(t.path)
         for r in range(partition.first, partition.last + 1):
@@ -150,16 +170,44 @@ class GeoTiffSource(DataSource):
 
 
 def read_geotiff(spark: SparkSession, path: str, bands=None, bbox=None) -> DataFrame:
-    """Tiles of a GeoTIFF path or URL."""
+    """Tiles of a GeoTIFF path or URL, or of all files that a path with ``*`` matches."""
     spark.dataSource.register(GeoTiffSource)
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")  # the reader takes filters, and isn't read otherwise
     options = {"bands": ",".join(map(str, requested_bands(bands)))}
     if bbox is not None:
         options["bbox"] = ",".join(map(str, parse_bbox(bbox)))
-    return spark.read.format("geotiff").options(**options).load(checked_asset(path))
+    return spark.read.format("geotiff").options(**options).load(path if "*" in path else checked_asset(path))
 
 
-def cube_of(tiles: DataFrame, block: tuple[int, int], count: int) -> DataFrame:
-    """Tiles as cube rows (raster_id, height, width, y, x, bands)."""
+def write_scenes(pixels: DataFrame, folder: str, rows: int, width: int, tile: int = 16) -> DataFrame:
+    """(path) of one-band GeoTIFF files below ``folder``, ``k-bN.tif`` with ``rows`` raster rows each, from (y, x, band, v) pixels.
+
+    A task holds one scene's band.  A file is written under a name of its task attempt's and then
+    renamed, so a lost executor leaves no half of one.
+    """
+    import pandas as pd
+
+    root = folder.removeprefix("file://")
+
+    def run(key: tuple, px: pd.DataFrame) -> pd.DataFrame:
+        from pyspark import TaskContext
+
+        scene, band = key
+        height = int(px["y"].max()) % rows + 1
+        full = np.zeros((-(-height // tile) * tile, -(-width // tile) * tile))
+        full[px["y"] % rows, px["x"]] = px["v"]
+        os.makedirs(root, exist_ok=True)
+        path = f"{root}/{scene}-b{band}.tif"
+        part = f"{path}.{TaskContext.get().taskAttemptId()}"
+        write_tiff(part, ((r, c, full[r * tile : (r + 1) * tile, c * tile : (c + 1) * tile]) for r in range(full.shape[0] // tile) for c in range(full.shape[1] // tile)), width, height, "f8", tile)
+        os.replace(part, path)
+        return pd.DataFrame({"path": [path]})
+
+    return pixels.withColumn("scene", F.expr(f"y div {rows}").cast("int")).groupBy("scene", "band").applyInPandas(run, "path string")
+
+
+def pixels_of(tiles: DataFrame, block: tuple[int, int]) -> DataFrame:
+    """Tiles as long pixels (raster_id, height, width, y, x, band, v)."""
     import pyarrow as pa
 
     def run(batches):
@@ -172,7 +220,12 @@ def cube_of(tiles: DataFrame, block: tuple[int, int], count: int) -> DataFrame:
                     names=["raster_id", "height", "width", "y", "x", "band", "v"],
                 )
 
-    long = tiles.mapInArrow(run, "raster_id string, height int, width int, y int, x int, band int, v double")
+    return tiles.mapInArrow(run, "raster_id string, height int, width int, y int, x int, band int, v double")
+
+
+def cube_of(tiles: DataFrame, block: tuple[int, int], count: int) -> DataFrame:
+    """Tiles as cube rows (raster_id, height, width, y, x, bands)."""
+    long = pixels_of(tiles, block)
     each = [F.coalesce(F.max(F.when(F.col("band") == b, F.col("v"))), F.lit(0.0)) for b in range(1, count + 1)]
     return long.groupBy("raster_id", "height", "width", "y", "x").agg(F.array(*each).alias("bands"))
 
