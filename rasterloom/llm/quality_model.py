@@ -140,8 +140,9 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col:
     last = sizes.slice(max(fits, 1) - 1, 1).to_pylist()[0]
     chosen = found.where((F.col("place") < last["place"]) | ((F.col("place") == last["place"]) & (F.col("code") <= last["code"])))
     # equal rows at the border all pass the filter; the number decides
-    got = chosen.orderBy("place", "code").limit(max(fits, 1)).toArrow().sort_by([("place", "ascending"), ("code", "ascending"), ("y", "ascending")])
-    rows = [(np.array(b.values), np.array(s.values)) for b, s in zip(got.column("buckets"), got.column("shares"), strict=True)]
+    got = chosen.select("y", "buckets", "shares", "place", "code").orderBy("place", "code").limit(max(fits, 1)).toArrow()
+    # the bags stay where they came, as views of the table's columns
+    rows = [(b.values.to_numpy(), s.values.to_numpy()) for b, s in zip(got.column("buckets"), got.column("shares"), strict=True)]
     return train(rows, got.column("y").to_numpy().astype(np.int64))
 
 
