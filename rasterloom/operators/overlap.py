@@ -9,28 +9,41 @@ from rasterloom.functions.affine import affine, move_rings
 from rasterloom.functions.geometry import area, area_inside, bounds, let
 
 
-def _buckets(low: Column, high: Column, size: float) -> Column:
+def _buckets(low: Column, high: Column, size: Column) -> Column:
     return F.sequence(F.floor(low / size).cast("long"), F.floor(high / size).cast("long"))
 
 
 def bbox_overlap(polygons: DataFrame, images: DataFrame, bucket: float | None = None) -> DataFrame:
     """Pairs of polygon rows and image rows whose boxes meet, touching included.
 
-    Both sides have minx, miny, maxx, maxy; the images' come out as image_minx and so on.
-    With ``bucket`` (map units) both sides are exploded into grid buckets and equi-joined there, each
-    pair kept only in the first bucket that both share; without it the planner may only loop.
+    Both sides have minx, miny, maxx, maxy; the images' come out as image_minx and so on.  Each side is
+    exploded into the buckets of a grid and equi-joined there, each pair kept only in the first bucket that
+    both share.  Polygons lie on the grid whose buckets are as wide as they are, a power of two times
+    ``bucket`` (map units; the images' mean side without it), so that none of them meets more than
+    four buckets; images are exploded once for each such width that polygons have.  Boxes with a null meet nothing.
     """
     names = ("minx", "miny", "maxx", "maxy")
     for n in names:
         images = images.withColumnRenamed(n, f"image_{n}")
     meet = (F.col("minx") <= F.col("image_maxx")) & (F.col("maxx") >= F.col("image_minx")) & (F.col("miny") <= F.col("image_maxy")) & (F.col("maxy") >= F.col("image_miny"))
     if bucket is None:
-        return polygons.join(images, meet)
-    left = polygons.withColumn("_bx", F.explode(_buckets(F.col("minx"), F.col("maxx"), bucket))).withColumn("_by", F.explode(_buckets(F.col("miny"), F.col("maxy"), bucket)))
-    right = images.withColumn("_bx", F.explode(_buckets(F.col("image_minx"), F.col("image_maxx"), bucket))).withColumn("_by", F.explode(_buckets(F.col("image_miny"), F.col("image_maxy"), bucket)))
-    first_x = F.floor(F.greatest("minx", "image_minx") / bucket).cast("long")
-    first_y = F.floor(F.greatest("miny", "image_miny") / bucket).cast("long")
-    return left.join(right, ["_bx", "_by"]).where(meet & (F.col("_bx") == first_x) & (F.col("_by") == first_y)).drop("_bx", "_by")
+        side = images.agg(F.avg(F.greatest(F.col("image_maxx") - F.col("image_minx"), F.col("image_maxy") - F.col("image_miny")))).first()[0]
+        bucket = float(side) if side else 1.0
+    extent = F.greatest(F.col("maxx") - F.col("minx"), F.col("maxy") - F.col("miny"))
+    level = F.greatest(F.ceil(F.log2(F.greatest(extent, F.lit(bucket)) / bucket)), F.lit(0)).cast("int")
+    left = polygons.where(extent.isNotNull()).withColumn("_level", level)
+    levels = sorted(r[0] for r in left.select("_level").distinct().collect())  # at most a thousand, as doubles go
+    right = images.withColumn("_level", F.explode(F.array(*map(F.lit, levels)).cast("array<int>")))
+    width = F.lit(bucket) * F.pow(F.lit(2.0), F.col("_level"))
+
+    def placed(df: DataFrame, prefix: str) -> DataFrame:
+        for axis in "xy":
+            df = df.withColumn(f"_b{axis}", F.explode(_buckets(F.col(f"{prefix}min{axis}"), F.col(f"{prefix}max{axis}"), width)))
+        return df
+
+    first = lambda axis: F.floor(F.greatest(f"min{axis}", f"image_min{axis}") / width).cast("long")
+    met = placed(left, "").join(placed(right, "image_"), ["_level", "_bx", "_by"])
+    return met.where(meet & (F.col("_bx") == first("x")) & (F.col("_by") == first("y"))).drop("_level", "_bx", "_by")
 
 
 def overlapping_subset(polygons: DataFrame, box: tuple[float, float, float, float] | None) -> DataFrame:

@@ -25,6 +25,19 @@ from rasterloom.sources.geotiff import cube_of, read_geotiff, write_mask
 from rasterloom.sources.tiff import open_tiff
 
 
+#: Bytes of arrays that one task of inference may hold.
+TASK_BYTES = 768 << 20
+
+
+def macro_cells(s: int, bands: int, classes: int) -> int:
+    """Cells along a macro-tile's side: as many as TASK_BYTES allow, one at least and 4096 pixels at most.
+
+    A pixel of the macro-tile and of the cell around it takes its bands, sums, weights and probabilities in doubles, and its bands once more as bytes.
+    """
+    side = int((TASK_BYTES / (8 * (2 * bands + 2 * classes + 2))) ** 0.5) // s - 2
+    return max(1, min(4096 // s, side))
+
+
 @dataclass(frozen=True)
 class Scene:
     """A raster ready for segmentation: its cube and what its profile says."""
@@ -48,7 +61,7 @@ def _geotiff(spark: SparkSession, path: str, bands: Sequence[int], bbox) -> Scen
 
 
 def _zarr(spark: SparkSession, path: str, bands: Sequence[int]) -> Scene:
-    shape = json.loads((Path(path) / ".zarray").read_text())
+    shape = zarrcube._layout(Path(path))
     meta = zarrcube.read_metadata(str(Path(path).with_suffix(".json"))) or {}
     sizes, block = shape["shape"][-2:], shape["chunks"][-2:]
     have = shape["shape"][0] if len(shape["shape"]) == 3 else 1
@@ -109,9 +122,9 @@ class SceneSegmenter:
 
     def mask_tiles(self, scene: Scene, edge_mode: str = "reference") -> DataFrame:
         """Class tiles by macro-tiles, 255 where a band is nodata."""
-        s = self.settings.patch_size // 2
+        o, s = self.settings, self.settings.patch_size // 2
         value = scene.nodata if scene.nodata is not None else (None if scene.is_float else 0.0)
-        tiles = segment_tiles(cells_of(scene.cube, s, scene.count), self.model, s, scene.count, macro=max(1, 4096 // s), threshold=self.settings.threshold, skip=value, edge_mode=edge_mode)
+        tiles = segment_tiles(cells_of(scene.cube, s, scene.count), self.model, s, scene.count, macro=macro_cells(s, scene.count, o.classes), threshold=self.settings.threshold, skip=value, edge_mode=edge_mode)
         return self._masked(tiles, scene, s)
 
     def _masked(self, tiles: DataFrame, scene: Scene, s: int) -> DataFrame:
