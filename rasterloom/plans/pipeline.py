@@ -181,7 +181,7 @@ class SceneSegmenter:
                 rows = annotate.with_category(pixels, "value")
                 image = self.spark.createDataFrame([(1, scene.name, scene.width, scene.height)], "image_id int, file_name string, width int, height int")
                 doc = annotate.coco_document(annotate.annotations(rows), annotate.categories(rows), annotate.images(image))
-                Path(name("coco", "json")).write_text(doc.first()[0])
+                annotate.write_document(doc, name("coco", "json"))
         finally:
             pixels.unpersist()
 

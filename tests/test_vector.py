@@ -1,5 +1,7 @@
 """Runs, components, rings and geometry."""
 
+import json
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -164,6 +166,25 @@ def test_overlap_with_and_without_buckets(spark):
         overlap.overlapping_subset(a, None)
 
 
+def test_document_is_made_of_pieces(spark, tmp_path):
+    rows = spark.createDataFrame([(k, "cab"[k % 3]) for k in range(1, 40)], "feature_id long, status string").withColumn("rings", G.box(F.col("feature_id"), F.lit(0), F.col("feature_id") + 2, F.lit(3)))
+    images = spark.createDataFrame([(2, 'two".tif', 7, 8), (1, "one.tif", 5, 6)], "image_id int, file_name string, width int, height int")
+    lics = annotate.licenses(spark, {"free": "http://free"})
+    for n in (39, 1, 0):
+        some = annotate.with_category(rows.where(F.col("feature_id") <= n).repartition(5), "status")
+        notes, cats, imgs = annotate.annotations(some, start=9), annotate.categories(some), annotate.images(images)
+        pieces = annotate.coco_document(notes, cats, imgs, lics, {"year": "2024"})
+        assert pieces.count() == n + 2 and pieces.where("part = 1").count() == n
+        annotate.write_document(pieces, str(tmp_path / f"{n}.json"))
+        got = json.loads((tmp_path / f"{n}.json").read_text())
+        assert list(got) == ["annotations", "categories", "images", "licenses", "info"]
+        assert got["annotations"] == [json.loads(x["j"]) for x in notes.orderBy("id").select(F.to_json(F.struct("*")).alias("j")).collect()]
+        assert [a["id"] for a in got["annotations"]] == list(range(9, 9 + n)) and all(a["area"] == 6.0 for a in got["annotations"])
+        assert [(c["id"], c["name"]) for c in got["categories"]] == [(k + 1, c) for k, c in enumerate("abc"[: min(n, 3)])]
+        assert [i["file_name"] for i in got["images"]] == ["one.tif", 'two".tif']
+        assert got["licenses"] == [{"id": 1, "name": "free", "url": "http://free"}] and got["info"] == {"year": "2024"}
+
+
 def test_presets(spark):
     with pytest.raises(ValueError):
         annotate.with_category(spark.range(1), None, preset=[{"id": 1, "name": "x"}])
