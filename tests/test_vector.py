@@ -201,7 +201,7 @@ def test_overlap_with_and_without_buckets(spark):
 
 
 @pytest.mark.skipif(not Path(SF).exists(), reason="no test tables")
-@pytest.mark.parametrize("name", ["annotation_ids", "coco_annotations"])
+@pytest.mark.parametrize("name", ["annotation_ids", "coco_annotations", "coco_scores"])
 def test_rows_of_a_category_stay_spread(spark, monkeypatch, name):
     """No shuffle by category name before the numbering, which would send half of the rows to one task."""
     given = []
